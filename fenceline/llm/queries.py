@@ -9,6 +9,8 @@ from ..functions.keys import micros
 from ..operators.runs import current_runs
 from ..plans.logs import CURRENT_RUNS, table
 from .languages import held_languages, label_documents, not_named, train
+from .mixing import mix, shares
+from .packing import fill, pack
 from .percentiles import merged_counts, percentiles, value_counts
 from .tokens import TOKENIZERS
 
@@ -42,6 +44,26 @@ def p1_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_job_and_day(value_counts(_durations(spark, sf_dir), ["job_name", "on_day"], "ms", GRID_BITS))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every item, for each capacity."""
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are, and how many any packing would need."""
+    return fill(p6_containers(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn and how often each is used."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares asked for and those really reached."""
+    return shares(*mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labeller = train(docs, table(spark, sf_dir, "lang_samples"), f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -58,7 +80,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).select("doc_id", F.inline("segments"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_segments)}
 
 
 def _percentiles_sql(value: str) -> str:
