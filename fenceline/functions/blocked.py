@@ -34,3 +34,29 @@ def blocked_lag(df: DataFrame, key: list[str], block: str, order: list[Column],
 
 def blocked_lead(df: DataFrame, key: list[str], block: str, order: list[Column], take: dict[str, str]) -> DataFrame:
     return blocked_shift(df, key, block, order, take, False)
+
+
+def blocked_running(df: DataFrame, key: list[str], block: str, order: list[Column], take: dict[str, tuple[str, str]], include_current: bool = True) -> DataFrame:
+    """Add running values over a key's rows in order: take[new] = (kind, column), kind one of max, min, sum, count, last.
+
+    Windows stay inside (key, block); what the blocks before come to is one row for each (key, block), carried over the
+    key and joined back. last is the last value that isn't null. Without include_current a row's own value is left out.
+    """
+    merge = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "last": lambda a, b: F.coalesce(b, a)}
+    merge["count"] = merge["sum"]
+    inside_fn = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count, "last": lambda c: F.last(c, ignorenulls=True)}
+    over_fn = inside_fn | {"count": F.sum}
+    inside = Window.partitionBy(*key, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    before = Window.partitionBy(*key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order]) if order else F.lit(0)
+    totals = {}
+    for new, (kind, old) in take.items():
+        last = F.max_by(F.col(old), F.when(F.col(old).isNotNull(), rank))
+        totals[f"_c_{new}"] = last if kind == "last" else inside_fn[kind](F.col(old))
+    carried = df.groupBy(*key, block).agg(*[c.alias(n) for n, c in totals.items()])
+    carried = carried.select(*key, block, *[over_fn[kind](F.col(f"_c_{new}")).over(before).alias(f"_b_{new}") for new, (kind, _) in take.items()])
+    local = df.withColumns({f"_i_{new}": inside_fn[kind](F.col(old)).over(inside) for new, (kind, old) in take.items()})
+    joined = local.join(carried, [*key, block])
+    return joined.withColumns({new: merge[kind](F.col(f"_b_{new}"), F.col(f"_i_{new}")) for new, (kind, _) in take.items()}).drop(
+        *[f"{p}{new}" for new in take for p in ("_i_", "_b_")]
+    )

@@ -54,3 +54,56 @@ def time_text(c: Column | str) -> Column:
 def block_of(c: Column | str, days: float) -> Column:
     """Number of the time block of so many days that holds c."""
     return F.floor(micros(c) / F.lit(int(days * 86_400_000_000))).cast("long")
+
+
+def run_text(c: Column | str) -> Column:
+    """Readable form of run_key: 32 hexadecimal digits, or t: and the trimmed text."""
+    text = F.lower(col(c))
+    bare = F.translate(text, UUID_NOISE, "")
+    other = F.btrim(text, F.lit(BLANKS))
+    return F.coalesce(F.when((F.length(bare) == 32) & F.unhex(bare).isNotNull(), bare), F.when(other != "", F.concat(F.lit("t:"), other)))
+
+
+def millis_between(start: Column | str, end: Column | str) -> Column:
+    """Whole milliseconds from start to end; null if either is."""
+    return F.timestamp_diff("MILLISECOND", col(start), col(end))
+
+
+def idempotency_key(stable_id: Column, item: Column, method: Column | None = None, prefix: str = "fl") -> Column:
+    """prefix_id_item[_method]; null if a part is null."""
+    parts = [F.lit(prefix), stable_id, item, *([method] if method is not None else [])]
+    joined = [x for p in parts for x in (F.lit("_"), p)][1:]
+    return F.concat(*joined)
+
+
+def stable_id(run_id: Column, token: Column) -> Column:
+    """The run id where there is one, so that the key survives a takeover; else the token."""
+    return F.coalesce(run_id, token.cast("string"))
+
+
+def key_headers(key: Column, names: tuple[str, ...] = ("Idempotency-Key", "X-Idempotency-Key")) -> Column:
+    """The headers that carry a key to a receiver; null without a key."""
+    return F.when(key.isNotNull(), F.create_map(*[x for n in names for x in (F.lit(n), key)]))
+
+
+def stage_key(kind: Column | str, constant: Column | str) -> Column:
+    return F.concat_ws(".", col(kind), col(constant))
+
+
+def run_stage_key(run_id: Column | str, stage: Column | str) -> Column:
+    """One sort key for a run's stages; a run's rows are those that start with 'run#'."""
+    return F.concat_ws("#", col(run_id), col(stage))
+
+
+def progress_json(last_id: Column, state: Column | None = None, state_type: Column | None = None) -> Column:
+    fields = [last_id.alias("lastId")]
+    if state is not None:
+        fields += [state.alias("state"), state_type.alias("stateType")]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def parse_progress(c: Column | str) -> Column:
+    """Struct (lastId, state, stateType) of a progress document; null where it is no whole JSON object."""
+    parsed = F.from_json(col(c), "lastId string, state string, stateType string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    whole = parsed.isNotNull() & parsed["_bad"].isNull() & F.startswith(F.ltrim(col(c)), F.lit("{"))
+    return F.when(whole, F.struct(parsed["lastId"].alias("lastId"), parsed["state"].alias("state"), parsed["stateType"].alias("stateType")))
