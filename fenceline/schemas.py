@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType, TimestampNTZType
 
-LOCKS = StructType.fromDDL("job_name string not null, run_id string, holder string, token bigint, acquired_at timestamp_ntz, expires_at timestamp_ntz, status string")
-CHECKPOINTS = StructType.fromDDL(
-    "job_name string not null, run_id string not null, stage_name string not null, status string, stored_value string, value_type string, fencing_token bigint, updated_at timestamp_ntz"
+_TEXT, _NUMBER, _TIME = StringType(), LongType(), TimestampNTZType()
+
+
+def _table(required: dict[str, DataType], optional: dict[str, DataType]) -> StructType:
+    return StructType([StructField(n, t, False) for n, t in required.items()] + [StructField(n, t) for n, t in optional.items()])
+
+
+LOCKS = _table({"job_name": _TEXT}, {"run_id": _TEXT, "holder": _TEXT, "token": _NUMBER, "acquired_at": _TIME, "expires_at": _TIME, "status": _TEXT})
+CHECKPOINTS = _table(
+    {"job_name": _TEXT, "run_id": _TEXT, "stage_name": _TEXT},
+    {"status": _TEXT, "stored_value": _TEXT, "value_type": _TEXT, "fencing_token": _NUMBER, "updated_at": _TIME},
 )
-RUNS = StructType.fromDDL(
-    "job_name string not null, run_id string not null, started_at timestamp_ntz, finished_at timestamp_ntz, status string, items_processed bigint, error_message string"
+RUNS = _table(
+    {"job_name": _TEXT, "run_id": _TEXT}, {"started_at": _TIME, "finished_at": _TIME, "status": _TEXT, "items_processed": _NUMBER, "error_message": _TEXT}
 )
 
 KEYS = {"locks": ("job_name",), "checkpoints": ("job_name", "run_id", "stage_name"), "runs": ("job_name", "run_id")}

@@ -1,0 +1,247 @@
+from dataclasses import dataclass
+from enum import Enum
+
+import pytest
+from pyspark.sql import functions as F
+
+from fenceline.operators.jobs import Cron, EventLog, JobDefinition, Registry, exactly_once, requires_context
+from fenceline.operators.resume import JobContext, LockStolen, fold, page, pages, remaining
+from fenceline.operators.validate import CheckpointTypeError, check_type, check_value, definition_findings, value_from_json
+from fenceline.sources.stores import Checkpoint, MemoryCheckpoints, MemoryLeases
+
+
+class Stage(Enum):
+    LOAD = 1
+    SUM = 2
+
+
+@dataclass
+class Money:
+    amount: int
+    unit: str
+
+
+class Clock:
+    t = 0
+
+    def __call__(self):
+        self.t += 1_000_000
+        return self.t
+
+
+@pytest.fixture
+def make():
+    leases, checkpoints, clock = MemoryLeases(), MemoryCheckpoints(), Clock()
+    leases.seed("j", "r", 0)
+
+    def context():
+        token, run = leases.acquire("j", "p", "c", clock(), 1_000_000)
+        return JobContext("j", run, token, leases, checkpoints, clock)
+
+    def again():
+        clock.t += 10_000_000
+        return context()
+
+    context.again = again
+    context.leases, context.checkpoints, context.clock = leases, checkpoints, clock
+    return context
+
+
+ITEMS = [f"item-{n}" for n in range(1, 6)]
+
+
+def test_crash_before_the_fourth_item(make):
+    seen, crash = [], ["item-4"]
+
+    def action(item):
+        if item in crash:
+            crash.clear()
+            raise RuntimeError("crash")
+        seen.append(item)
+
+    with pytest.raises(RuntimeError):
+        make().for_each(Stage.LOAD, ITEMS, str, action)
+    assert seen == ITEMS[:3]
+    second = make.again()
+    assert second.is_resume
+    second.for_each(Stage.LOAD, ITEMS, str, action)
+    assert seen == ITEMS and second.items_processed == 2
+    second.for_each(Stage.LOAD, ITEMS, str, action)
+    assert seen == ITEMS and second.is_stage_complete(Stage.LOAD)
+
+
+@pytest.mark.parametrize("cut", range(6))
+@pytest.mark.parametrize("paged", [False, True])
+def test_resumed_fold_equals_the_whole_one(make, cut, paged):
+    def action(item, state):
+        nonlocal left
+        if left == 0:
+            raise RuntimeError("crash")
+        left -= 1
+        return state * 3 + int(item[-1])
+
+    def load(cursor):
+        return [x for x in ITEMS if cursor is None or x > cursor][:2]
+
+    def run(context):
+        return context.fold_each_page(Stage.SUM, load, str, 1, action) if paged else context.fold_each(Stage.SUM, ITEMS, str, 1, action)
+
+    left = cut
+    if cut < 5:
+        with pytest.raises(RuntimeError):
+            run(make())
+    left = 99
+    want = 1
+    for x in ITEMS:
+        want = want * 3 + int(x[-1])
+    assert run(make.again()) == want
+    assert run(make.again()) == want and left == 99 - (5 - cut if cut < 5 else 5)
+
+
+def test_step_runs_once_and_keeps_its_value(make):
+    calls = []
+    for start in (make, make.again):
+        context = start()
+        assert context.step(Stage.LOAD, lambda: calls.append(1) or Money(5, "x")) == Money(5, "x")
+        assert context.step("plain") is None
+    assert calls == [1]
+    context = make.again()
+    assert context.step("stage", lambda: Stage.SUM) is Stage.SUM and context.step("stage", lambda: 1 / 0) is Stage.SUM
+
+
+def test_empty_list_completes(make):
+    context = make()
+    context.for_each(Stage.LOAD, [], str, lambda x: 1 / 0)
+    context.for_each_page("pages", lambda cursor: [], str, lambda x: 1 / 0)
+    assert context.is_stage_complete(Stage.LOAD) and context.is_stage_complete("pages")
+
+
+def test_stolen_lock_stops_writes(make):
+    old = make()
+    new = make.again()
+    with pytest.raises(LockStolen):
+        old.complete_stage(Stage.LOAD)
+    with pytest.raises(LockStolen):
+        old.assert_still_held()
+    new.complete_stage(Stage.LOAD)
+
+
+def test_higher_stored_token_stays():
+    store = MemoryCheckpoints()
+    row = lambda token, value: Checkpoint("j", "r", "s", "COMPLETE", value, None, token, 0)
+    assert store.save(row(99, "a")) and not store.save(row(5, "b")) and store.save(row(99, "c"))
+    assert store.load("j", "r", "s").stored_value == "c"
+    store.clear_run("j", "r")
+    assert not store.any("j", "r") and store.stage_names("j") == set()
+
+
+def test_item_key_is_the_same_after_takeover(make):
+    keys = []
+    context = make()
+    context.for_each("a", ["x"], str, lambda x: keys.append(context.idempotency_key()))
+    later = make.again()
+    later.for_each("b", ["x"], str, lambda x: keys.append(later.idempotency_key()))
+    assert keys[0] == keys[1] and context.token != later.token and context.idempotency_key() is None
+
+
+def test_registry_outcomes(make):
+    log = EventLog()
+    registry = Registry(make.leases, make.checkpoints, make.clock, listeners=[log])
+
+    @registry.scheduled("good", cron="0 0 2 * * *")
+    def good(context):
+        context.for_each(Stage.LOAD, ITEMS, str, lambda x: None)
+
+    @registry.scheduled("bad", fixed_rate_ms=1000, wants_context=False)
+    def bad():
+        raise ValueError("no")
+
+    @registry.scheduled("slow", fixed_rate_ms=1000)
+    def slow(context):
+        make.clock.t += 400_000_000
+        registry.leases.acquire("slow", "other", "z", make.clock(), 500_000_000)
+
+    assert [registry.tick(n) for n in ("good", "bad", "slow", "slow")] == ["SUCCESS", "FAILED", "STOLEN", None]
+    assert ("good", "items", "success", 5) in log.rows and ("slow", "acquisition", "skipped", 1) in log.rows
+    assert not make.checkpoints.stage_names("good")
+    assert registry.recover(["good", "unknown"]) == {"good": "SUCCESS"}
+    with pytest.raises(ValueError):
+        registry.scheduled("good")(good)
+    with pytest.raises(ValueError):
+        JobDefinition(" ")
+    with pytest.raises(ValueError):
+        JobDefinition("x", ttl_seconds=0)
+
+
+def test_decorators(make):
+    keys = []
+
+    @exactly_once
+    def charge(context, item):
+        keys.append(context.idempotency_key())
+
+    context = make()
+    context.for_each("a", ["x"], str, lambda x: charge(context, x))
+    assert keys == [f"fl_{context.run_id}_x_test_decorators.<locals>.charge"]
+    with pytest.raises(TypeError):
+        exactly_once(lambda c: 1)(context)
+    with pytest.raises(RuntimeError):
+        requires_context(lambda c: 1)(None)
+
+
+def test_cron():
+    from datetime import datetime, timezone
+
+    start = datetime(2025, 1, 31, 23, 59, 59, tzinfo=timezone.utc)
+    next_ = lambda text, zone="UTC": Cron(text).next(start, zone).isoformat()
+    assert next_("0 0 2 * * *") == "2025-02-01T02:00:00+00:00"
+    assert next_("*/15 * * * * *") == "2025-02-01T00:00:00+00:00"
+    assert next_("0 30 9-17/4 * * MON-FRI") == "2025-02-03T09:30:00+00:00"
+    assert next_("0 0 0 29 FEB ?") == "2028-02-29T00:00:00+00:00"
+    assert next_("0 0 2 * * *", "Asia/Tokyo") == "2025-02-02T02:00:00+09:00"
+    assert Cron("0 0 0 31 2 *").next(start) is None
+    for wrong in ("* * *", "61 * * * * *", "0 0 0 0 * *", "0 0 5-2 * * *"):
+        with pytest.raises(ValueError):
+            Cron(wrong)
+
+
+def test_types():
+    from pyspark.sql.types import StructType
+
+    check_type(StructType.fromDDL("a int, b struct<c: date>"))
+    for bad, path in (("a struct<items: array<int>>", r"\$root\.a\.items"), ("m map<string,int>", "m"), ("d decimal(9,2)", "d"), ("b binary", "b")):
+        with pytest.raises(CheckpointTypeError, match=path):
+            check_type(StructType.fromDDL(bad))
+    check_value(Money(1, "x"))
+    with pytest.raises(CheckpointTypeError, match=r"\$root\.unit"):
+        check_value(Money(1, ["x"]))
+    for kind in (None, " ", "no.such.Type"):
+        with pytest.raises(CheckpointTypeError):
+            value_from_json("1", kind)
+
+
+def test_definition_findings(spark, rows):
+    jobs = spark.createDataFrame(
+        [("a", "0 0 2 * * *", -1, 300, False, False), ("a", None, 1000, 30, True, True), (" ", None, None, 0, False, False)],
+        "job_name string, cron string, fixed_rate_ms long, ttl_seconds int, exactly_once boolean, returns_value boolean",
+    )
+    assert rows(definition_findings(jobs)) == sorted(
+        [
+            ("a", "ERROR", "DUPLICATE_NAME"), ("a", "ERROR", "EXACTLY_ONCE_RETURNS"), ("a", "WARNING", "TTL_SHORT"), (" ", "ERROR", "BLANK_NAME"), (" ", "ERROR", "TTL_NOT_POSITIVE"),
+            (" ", "ERROR", "NO_SCHEDULE"),
+        ],
+        key=repr,
+    )
+
+
+def test_items_as_frames(spark, rows):
+    items = spark.createDataFrame([(f"{n:06d}", n) for n in range(1, 251)], "id string, v long")
+    assert remaining(items, "id", "000240").count() == 10 and remaining(items, "id", None).count() == 250
+    assert rows(page(items, "id", "000009", 2).select("id")) == [("000010",), ("000011",)]
+    got = pages(items, "id", 100, F.substring("id", 1, 4)).groupBy("page").agg(F.count("*").alias("n"), F.max("id")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 100, "000100"), (1, 100, "000200"), (2, 50, "000250")]
+    folded = fold(items.withColumn("k", F.col("v") % 2), ["k"], ["id"], F.col("v"), F.lit(1).cast("long"), lambda acc, v: (acc * 3 + v) % 1000)
+    want = {0: 1, 1: 1}
+    for n in range(1, 251):
+        want[n % 2] = (want[n % 2] * 3 + n) % 1000
+    assert {r["k"]: r["state"] for r in folded.collect()} == want
