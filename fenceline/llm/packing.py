@@ -51,7 +51,7 @@ def patterns(classes: int, present: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 3)
 
 
-def nonnegative_fit(found: np.ndarray, counts: np.ndarray, most_rounds: int = 400) -> np.ndarray:
+def nonnegative_fit(found: np.ndarray, counts: np.ndarray, most_rounds: int = 1000) -> np.ndarray:
     """How often to repeat each pattern so that the classes used come close to counts: least squares without negatives.
 
     The active-set method: the patterns that would improve the fit most join the set, the set is fitted freely, and what
@@ -71,14 +71,17 @@ def nonnegative_fit(found: np.ndarray, counts: np.ndarray, most_rounds: int = 40
     for _ in range(most_rounds):
         gain = matrix.T @ (target - matrix @ x)
         gain[active] = -np.inf
-        order = np.argsort(-gain)[:8]
+        # several at once to begin with, one at a time where they might depend on each other
+        order = np.argsort(-gain)[: 8 if active.sum() < classes // 2 else 1]
         order = order[gain[order] > floor]
-        if not len(order) or active.sum() >= classes:
+        if not len(order):
             break
         active[order] = True
         while True:
             at = np.flatnonzero(active)
-            solved = np.linalg.lstsq(matrix[:, at], target, rcond=None)[0]
+            inner = matrix[:, at].T @ matrix[:, at]
+            inner[np.diag_indices_from(inner)] *= 1 + 1e-10
+            solved = np.linalg.solve(inner, matrix[:, at].T @ target)
             if (solved > 0).all():
                 x[:] = 0.0
                 x[at] = solved
