@@ -205,7 +205,7 @@ def test_cron():
             Cron(wrong)
 
 
-def test_types():
+def test_types(spark):
     from pyspark.sql.types import StructType
 
     check_type(StructType.fromDDL("a int, b struct<c: date>"))
