@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..session import written
 
 #: Each pass cuts an interval at 2 ** PASS_BITS - 1 midpoints at once: so many halvings for one look at the data.
-PASS_BITS = 4
+PASS_BITS = 8
+
+#: The first pass cuts at the powers of two, and between two of them at 2 ** FIRST_BITS - 1 midpoints.
+FIRST_BITS = 6
 
 
 def rounded_down(value: Column | str, keep_bits: int) -> Column:
@@ -53,15 +56,15 @@ def percentiles(counts: DataFrame, percents: list[int]) -> DataFrame:
 
     Bisection: a (group, percent) holds the interval in which its target rank lies, and the rank inside it. Each pass
     counts the rows between the midpoints inside the intervals still open and keeps the part that holds the rank, until
-    only one value is left in it. The first pass cuts at the powers of two, each later one halves PASS_BITS times. Only
-    rows in open intervals go on to the next pass, so passes shrink; they and the state are cut off into written tables.
+    only one value is left in it. The first pass cuts at the powers of two and halves FIRST_BITS times between them, each
+    later one halves PASS_BITS times. Only rows in open intervals go on to the next pass, so passes shrink; they and the state are cut off into written tables.
     Counting is by (group, part), pre-aggregated, so a group with a third of all rows is no more than its few parts.
     """
     group = [c for c in counts.columns if c not in ("v", "n")]
     state = None
     done = []
     alive = written(counts.withColumn("d", F.length(F.bin("v"))), "value-counts")
-    for depth in range(1 + 64 // PASS_BITS):
+    for depth in range(2 + 64 // PASS_BITS):
         cut = alive.withColumn("part", _part(depth))
         sizes = cut.groupBy(*group, "d", "part").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         parts = F.sort_array(F.collect_list(F.struct("d", "part", "n", "lo", "hi"))).alias("parts")
@@ -86,15 +89,18 @@ def percentiles(counts: DataFrame, percents: list[int]) -> DataFrame:
 _RANK = "greatest((n_values * percent + 99) div 100, 1L)"
 
 
+def _digits_dropped(depth: int) -> Column:
+    return F.greatest(F.col("d") - F.lit(1 + FIRST_BITS + PASS_BITS * depth), F.lit(0))
+
+
 def _part(depth: int) -> Column:
-    """Leading binary digits of v, one and then PASS_BITS more at each depth."""
-    return F.call_function("shiftright", "v", F.greatest(F.col("d") - F.lit(1 + PASS_BITS * depth), F.lit(0)))
+    """Leading binary digits of v, PASS_BITS more at each depth."""
+    return F.call_function("shiftright", "v", _digits_dropped(depth))
 
 
 def _finer(depth: int) -> Column:
     """By how many digits a part at this depth is longer than the one before it."""
-    before = F.greatest(F.col("d") - F.lit(1 + PASS_BITS * (depth - 1)), F.lit(0))
-    return before - F.greatest(F.col("d") - F.lit(1 + PASS_BITS * depth), F.lit(0))
+    return _digits_dropped(depth - 1) - _digits_dropped(depth)
 
 
 def _narrowed(parts: Column, rank: Column) -> Column:
