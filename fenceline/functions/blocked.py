@@ -10,6 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Up to so many rows, blocks are of MOST_DAYS.
+ROWS_FOR_MOST = 40_000_000
+MOST_DAYS = 7.0
+
+
+def block_days_for(n_rows: int) -> float:
+    """Length of a block of time for a log of n_rows, so that a block stays one task's work.
+
+    Of a log over a quarter of a year in which one key has a third of all rows, a block then holds about a million rows of
+    that key, and the key has n_rows / 3,000,000 blocks. Counting the rows of a Parquet table reads no data.
+    """
+    return MOST_DAYS * min(1.0, ROWS_FOR_MOST / max(1, n_rows))
+
+
 def blocked_shift(df: DataFrame, key: list[str], block: str, order: list[Column], take: dict[str, str], back: bool) -> DataFrame:
     """Add for each new name of take the named column's value in the row before (back) or after, by key and order.
 

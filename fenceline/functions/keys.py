@@ -53,7 +53,7 @@ def time_text(c: Column | str) -> Column:
 
 def block_of(c: Column | str, days: float) -> Column:
     """Number of the time block of so many days that holds c."""
-    return F.floor(micros(c) / F.lit(int(days * 86_400_000_000))).cast("long")
+    return F.floor(micros(c) / F.lit(max(1, int(days * 86_400_000_000)))).cast("long")
 
 
 def run_text(c: Column | str) -> Column:

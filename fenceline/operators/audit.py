@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.blocked import blocked_running
 from ..functions.keys import block_of, micros
 
+#: Days of time in a block; see block_days_for.
 BLOCK_DAYS = 7.0
 
 
@@ -24,17 +25,17 @@ def rival_effects(log: DataFrame, entity: str, actor: str, at: str, seconds: int
     return marked.filter((F.col("_low") != F.col(actor)) | (F.col("_high") != F.col(actor))).drop("_us", "_low", "_high")
 
 
-def out_of_order(log: DataFrame, entity: str, at: str, tiebreak: str, token: str) -> DataFrame:
+def out_of_order(log: DataFrame, entity: str, at: str, tiebreak: str, token: str, block_days: float = BLOCK_DAYS) -> DataFrame:
     """Writes with a lower token than one before them, with that highest token so far (run_max)."""
-    blocked = log.withColumn("_b", block_of(at, BLOCK_DAYS))
+    blocked = log.withColumn("_b", block_of(at, block_days))
     order = [F.col(at), F.col(tiebreak)]
     run = blocked_running(blocked, [entity], "_b", order, {"run_max": ("max", token)}, include_current=False)
     return run.filter(F.col(token) < F.col("run_max")).drop("_b")
 
 
-def running_count(log: DataFrame, entity: str, at: str, tiebreak: str) -> DataFrame:
+def running_count(log: DataFrame, entity: str, at: str, tiebreak: str, block_days: float = BLOCK_DAYS) -> DataFrame:
     """log with n_so_far, the rows of the entity up to this one."""
-    blocked = log.withColumn("_b", block_of(at, BLOCK_DAYS)).withColumn("_one", F.lit(1))
+    blocked = log.withColumn("_b", block_of(at, block_days)).withColumn("_one", F.lit(1))
     return blocked_running(blocked, [entity], "_b", [F.col(at), F.col(tiebreak)], {"n_so_far": ("count", "_one")}).drop("_b", "_one")
 
 
@@ -46,7 +47,7 @@ def normalised(log: DataFrame, entity: str, at: str) -> DataFrame:
     return log.join(ends, entity).withColumn("position", F.greatest(F.lit(0.0), F.least(F.lit(1.0), place))).drop("_first", "_last")
 
 
-def known_at(writes: DataFrame, timeline: DataFrame, entity: str, at: str, value: str) -> DataFrame:
+def known_at(writes: DataFrame, timeline: DataFrame, entity: str, at: str, value: str, block_days: float = BLOCK_DAYS) -> DataFrame:
     """writes with the value that the timeline (entity, at, value) had last at or before each write; null before its first.
 
     An as-of join: both are put in one order, and the last value known is carried along, inside blocks of time first.
@@ -54,7 +55,7 @@ def known_at(writes: DataFrame, timeline: DataFrame, entity: str, at: str, value
     order = [F.col("_at"), F.col("_side")]
     left = writes.withColumns({"_at": F.col(at), "_side": F.lit(1), "_value": F.lit(None).cast(timeline.schema[value].dataType)})
     right = timeline.select(F.col(entity), F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"))
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_b", block_of("_at", BLOCK_DAYS))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_b", block_of("_at", block_days))
     held = blocked_running(both.filter("_at is not null"), [entity], "_b", order, {f"{value}_then": ("last", "_value")})
     return held.filter("_side = 1").drop("_at", "_side", "_value", "_b")
 

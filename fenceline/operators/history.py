@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.blocked import blocked_lag, blocked_lead
 from ..functions.keys import block_of
 
-#: Days of valid time that one sweep holds of one entity.
+#: Days of valid time that one sweep holds of one entity. See block_days_for.
 BLOCK_DAYS = 7.0
 
 #: Output rows collected before a batch is handed on.

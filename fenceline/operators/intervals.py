@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.blocked import blocked_lead
 from ..functions.keys import block_of, micros
 
-#: Days in a block of start times; bounds what one task holds of one entity.
+#: Days in a block of start times; bounds what one task holds of one entity. See block_days_for.
 BLOCK_DAYS = 7.0
 
 

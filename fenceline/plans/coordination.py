@@ -11,7 +11,7 @@ from ..operators import advice, audit, leases
 from ..operators.replay import replay
 from ..operators.runs import current_runs
 from ..operators.status import at_latest, missing_locks, newest_runs, status_view, without_keys
-from .logs import _name, _run, _text, table
+from .logs import _blocks, _name, _run, _text, table
 
 AS_OF = "2025-04-20 00:00:00"
 HALF_DAY = 43_200_000_000
@@ -151,13 +151,13 @@ def split_brain_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def out_of_order_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.out_of_order(_writes(spark, sf_dir), "job_name", "updated_at", "rec_id", "fencing_token")
+    found = audit.out_of_order(_writes(spark, sf_dir), "job_name", "updated_at", "rec_id", "fencing_token", _blocks(spark, sf_dir, "job_checkpoints"))
     return found.select("job_name", "rec_id", "fencing_token", "run_max")
 
 
 def cumulative_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.out_of_order(_writes(spark, sf_dir), "job_name", "updated_at", "rec_id", "fencing_token")
-    return audit.running_count(found, "job_name", "updated_at", "rec_id").select("job_name", "rec_id", F.col("n_so_far").cast("long").alias("n_so_far"))
+    found = audit.out_of_order(_writes(spark, sf_dir), "job_name", "updated_at", "rec_id", "fencing_token", _blocks(spark, sf_dir, "job_checkpoints"))
+    return audit.running_count(found, "job_name", "updated_at", "rec_id", _blocks(spark, sf_dir, "job_checkpoints")).select("job_name", "rec_id", F.col("n_so_far").cast("long").alias("n_so_far"))
 
 
 def norm_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,7 +332,7 @@ def page_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items processed so far after each run of a job: the fold of a sum, saved after every item."""
-    runs = _runs(spark, sf_dir).filter("started_at is not null").withColumn("_b", block_of("started_at", 7.0))
+    runs = _runs(spark, sf_dir).filter("started_at is not null").withColumn("_b", block_of("started_at", _blocks(spark, sf_dir, "job_runs")))
     order = [F.col("started_at"), F.col("rec_id")]
     return blocked_running(runs, ["job_name"], "_b", order, {"state": ("sum", "items_processed")}).select("job_name", "run_id", F.col("state").cast("long").alias("state"))
 
@@ -381,7 +381,7 @@ def token_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fenced_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checkpoint writes against the token their job's lock had then: accepted only if it is the same."""
     timeline = _snapshots(spark, sf_dir).groupBy("job_name", F.col("snap_at").alias("updated_at")).agg(F.max_by("token", "rec_id").alias("token"))
-    then = audit.known_at(_writes(spark, sf_dir).select("rec_id", "job_name", "fencing_token", "updated_at"), timeline, "job_name", "updated_at", "token")
+    then = audit.known_at(_writes(spark, sf_dir).select("rec_id", "job_name", "fencing_token", "updated_at"), timeline, "job_name", "updated_at", "token", _blocks(spark, sf_dir, "job_checkpoints"))
     return then.select("rec_id", "token_then", F.coalesce(F.col("token_then") == F.col("fencing_token"), F.lit(False)).alias("accepted"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.blocked import block_days_for
 from ..functions.keys import clean_name, run_key, time_text
 from ..operators.history import bitemporal_ledger, versions
 from ..operators.intervals import gap_micros, merge_intervals, periods_and_gaps, with_next_period
@@ -19,14 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _blocks(spark: SparkSession, sf_dir: str, name: str) -> float:
+    return block_days_for(table(spark, sf_dir, name).count())
+
+
 def _timed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_runs(table(spark, sf_dir, "job_runs"), "started_at", "finished_at")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periods of at least two runs, and gaps of at least 48 hours and less than 28 days."""
-    periods = merge_intervals(_timed_runs(spark, sf_dir), "job_name", "started_at", "finished_at")
-    spans = with_next_period(periods, "job_name")
+    days = _blocks(spark, sf_dir, "job_runs")
+    periods = merge_intervals(_timed_runs(spark, sf_dir), "job_name", "started_at", "finished_at", days)
+    spans = with_next_period(periods, "job_name", days)
     period = F.struct(F.lit("period").alias("span_kind"), time_text("period_start").alias("from_ts"), time_text("period_end").alias("to_ts"))
     gap = F.struct(F.lit("gap").alias("span_kind"), time_text("period_end").alias("from_ts"), time_text("next_start").alias("to_ts"))
     shown = F.array_compact(
@@ -40,7 +46,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All busy periods and all idle gaps of each job, with the number of runs."""
-    spans = periods_and_gaps(_timed_runs(spark, sf_dir), "job_name", "started_at", "finished_at")
+    spans = periods_and_gaps(_timed_runs(spark, sf_dir), "job_name", "started_at", "finished_at", _blocks(spark, sf_dir, "job_runs"))
     return spans.select("job_name", "span_kind", time_text("from_at").alias("from_ts"), time_text("to_at").alias("to_ts"), F.col("n_members").alias("n_runs"))
 
 
@@ -92,18 +98,22 @@ def _lock_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = snapshots.select(
         clean_name("job_name").alias("job_name"), "snap_at", "loaded_at", "rec_id", clean_name("holder").alias("holder"), clean_name("status").alias("status"), "token"
     )
-    return bitemporal_ledger(clean, "job_name", "snap_at", "loaded_at", "rec_id", LOCK_ATTRIBUTES)
+    return bitemporal_ledger(clean, "job_name", "snap_at", "loaded_at", "rec_id", LOCK_ATTRIBUTES, _blocks(spark, sf_dir, "lock_snapshots"))
+
+
+def _lock_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions(_lock_ledger(spark, sf_dir), "job_name", LOCK_ATTRIBUTES, _blocks(spark, sf_dir, "lock_snapshots"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The period in which each version of a job's lock was valid, as believed now."""
-    held = versions(_lock_ledger(spark, sf_dir), "job_name", LOCK_ATTRIBUTES)
+    held = _lock_versions(spark, sf_dir)
     return held.select("job_name", time_text("valid_from").alias("valid_from"), F.coalesce(time_text("valid_to"), F.lit("open")).alias("valid_to"))
 
 
 def p5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The versions of p5_found with their holder, status and token."""
-    held = versions(_lock_ledger(spark, sf_dir), "job_name", LOCK_ATTRIBUTES)
+    held = _lock_versions(spark, sf_dir)
     return held.select(
         "job_name", time_text("valid_from").alias("valid_from"), F.coalesce(time_text("valid_to"), F.lit("open")).alias("valid_to"), *LOCK_ATTRIBUTES
     )
