@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocked import blocked_running
-from ..functions.keys import block_of, clean_name, idempotency_key, micros, millis_between, parse_progress, run_text, stable_id, time_text
-from ..operators import advice, audit, leases
+from ..functions.keys import block_of, clean_name, idempotency_key, key_headers, micros, millis_between, parse_progress, run_text, stable_id, time_text
+from ..operators import advice, audit, leases, signals
 from ..operators.replay import replay
 from ..operators.runs import current_runs
 from ..operators.status import at_latest, missing_locks, newest_runs, status_view, without_keys
@@ -415,6 +415,51 @@ def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return falls.unionByName(holders).unionByName(zombies).unionByName(revived)
 
 
+def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renewals under each token, and when it was found lost."""
+    return signals.heartbeats(_replayed(spark, sf_dir))
+
+
+def stop_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an orderly stop sends: a release of every lock held."""
+    return signals.stop_commands(_locks(spark, sf_dir))
+
+
+def recovery_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the orphan scan at AS_OF starts again."""
+    jobs = table(spark, sf_dir, "job_runs").select(clean_name("job_name").alias("job_name")).filter("job_name is not null")
+    suspended = _locks(spark, sf_dir).filter("status = 'PAUSED'")
+    return signals.recovery_commands(orphans(spark, sf_dir), jobs, suspended)
+
+
+def start_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How late each run started for a job that pauses an hour between runs."""
+    runs = _runs(spark, sf_dir).filter("started_at is not null and finished_at is not null")
+    return signals.start_delays(runs, "rec_id", 3_600_000).select("job_name", "run_id", "late_ms")
+
+
+def fixed_rate_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly ticks of each registered job in the six hours before AS_OF, counted by job."""
+    jobs = _locks(spark, sf_dir).select("job_name", (_as_of() - F.expr("interval 6 hours")).alias("first_at"), _as_of().alias("last_at"), F.lit(3_600_000).alias("rate_ms"))
+    return signals.fixed_rate_ticks(jobs).select("job_name", time_text("tick_at").alias("tick_at"))
+
+
+def charge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and users of each kind."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+def ledger_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per job what the last write leaves without a guard, what the highest token leaves, and whether they differ."""
+    return _ledgers(spark, sf_dir).select("job_name", "expected", "final", (F.col("final") != F.col("expected")).alias("corrupted"))
+
+
+def keyed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers that carry each write's key to its receiver."""
+    headers = key_headers(F.col("idempotency_key"))
+    return _keyed_writes(spark, sf_dir).select("rec_id", headers["Idempotency-Key"].alias("idempotency_header"), headers["X-Idempotency-Key"].alias("x_idempotency_header"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -422,7 +467,7 @@ QUERIES = {
         seed_missing_locks, retention_keep, retention_purge, purged_history, split_brain_victims, out_of_order_writes, cumulative_violations, norm_timeline, has_checkpoint,
         stage_complete, checkpoint_lookup, lifecycle_counters, success_durations, peak_last10, ttl_advice, heartbeat_interval, throughput, corruption_rate, latency_stats, mttr,
         recovery_checks, history_integrity, latest_activity, duplicate_jobs, idempotency_keys, idempotency_dedup, resume_remaining, page_cursor, fold_sum, fold_resume,
-        json_progress, lease_replay, token_timeline, fenced_writes, committed_checkpoints, run_outcomes, self_fence, invariants,
+        json_progress, heartbeats, stop_commands, recovery_commands, start_delays, fixed_rate_ticks, charge_counts, ledger_rounds, keyed_headers, lease_replay, token_timeline, fenced_writes, committed_checkpoints, run_outcomes, self_fence, invariants,
     )
 }
 
@@ -585,4 +630,21 @@ union all select 'zombie_writes', count(*) filter (op = 'SAVE' and ok and given
 union all select 'revived_leases', count(*) filter (op = 'RENEW' and ok and expires_at < "at") from rp""",
 }
 
+_BODY |= {
+    "heartbeats": f"""{_REPLAY} select job, given as token, count(*) filter (ok) as renewed, count(*) filter (not ok) as refused, max("at") filter (ok) as last_renewed_at,
+  min("at") filter (not ok) as lost_at from rp where op = 'RENEW' group by 1, 2""",
+    "stop_commands": "x as (select 1) select job_name as job, 'RELEASE' as op, token from lk where status = 'HELD'",
+    "recovery_commands": f"""x as (select 1) select job_name as job, 'ACQUIRE' as op from lk where (status = 'ORPHANED' or (status = 'HELD' and expires_at < {_AT}))
+and job_name in (select job_name from nm where job_name is not null) and status <> 'PAUSED'""",
+    "start_delays": """s as (select job_name, run_id, epoch_us(started_at) - epoch_us(lag(finished_at) over (partition by job_name order by started_at, rec_id)) - 3600000000 as us
+  from rn where started_at is not null and finished_at is not null)
+select job_name, run_id, floor(us / 1000)::bigint as late_ms from s""",
+    "fixed_rate_ticks": f"""t as (select job_name, unnest(generate_series({_AT} - interval 6 hours, {_AT}, interval 1 hour)) as tick_at from lk)
+select job_name, {_text('tick_at')} as tick_at from t""",
+    "charge_counts": "x as (select 1) select event_type, count(*) as n, count(distinct user_id) as users from events group by 1",
+    "ledger_rounds": """l as (select job_name, arg_max(fencing_token, (updated_at, rec_id)) as final, max(fencing_token) as expected from wr where fencing_token is not null and updated_at is not null group by 1)
+select job_name, expected, final, final <> expected as corrupted from l""",
+    "keyed_headers": "k as (select rec_id, 'fl_' || run_id || '_' || stage_name || '_' || job_name as key from wr) select rec_id, key as idempotency_header, key as x_idempotency_header from k",
+}
+
 SQL = {name: _WITH + body for name, body in _BODY.items()}

@@ -79,3 +79,20 @@ def test_no_reference_to_the_llm_part():
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
             assert "llm" not in f.read_text().replace("fulltext", ""), f
+
+
+def test_fencing_time_and_ticks(spark, rows):
+    from fenceline.operators import signals
+
+    at = lambda s: datetime(2025, 1, 1, 0, 0, s)
+    beats = [("j", at(0), True), ("j", at(4), None), ("j", at(9), None), ("j", at(10), None), ("j", at(20), None), ("k", at(0), True), ("k", at(5), None), ("k", at(6), True), ("l", at(1), None)]
+    df = spark.createDataFrame(beats, "e string, t timestamp_ntz, ok boolean")
+    assert rows(signals.fencing_time(df, "e", "t", 10_000)) == [("j", at(0), at(4), at(10)), ("k", at(0), at(5), None)]
+    jobs = spark.createDataFrame([("j", at(0), at(5), 2000), ("k", at(0), at(5), 0), ("l", at(5), at(0), 1000)], "job_name string, first_at timestamp_ntz, last_at timestamp_ntz, rate_ms long")
+    assert rows(signals.fixed_rate_ticks(jobs)) == [("j", at(0)), ("j", at(2)), ("j", at(4))]
+
+
+def test_block_length_follows_the_size():
+    from fenceline.functions.blocked import block_days_for
+
+    assert block_days_for(0) == block_days_for(40_000_000) == 7.0 and block_days_for(400_000_000) == 0.7
