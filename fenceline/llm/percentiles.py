@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -66,15 +66,13 @@ def percentiles(counts: DataFrame, percents: list[int]) -> DataFrame:
     alive = written(counts.withColumn("d", F.length(F.bin("v"))), "value-counts")
     for depth in range(2 + 64 // PASS_BITS):
         cut = alive.withColumn("part", _part(depth))
-        sizes = cut.groupBy(*group, "d", "part").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        parts = F.sort_array(F.collect_list(F.struct("d", "part", "n", "lo", "hi"))).alias("parts")
+        parts = cut.groupBy(*group, "d", "part").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         if state is None:
-            total = sizes.groupBy(*group).agg(parts, F.sum("n").alias("n_values"))
-            each = total.withColumn("percent", F.explode(F.array(*[F.lit(int(p)) for p in percents]))).withColumn("rank", F.expr(_RANK))
+            hits = _first_hits(parts, group, percents)
         else:
-            inside = sizes.withColumn("up", F.call_function("shiftright", "part", _finer(depth)))
-            each = state.join(inside.groupBy(*group, "d", "up").agg(parts), [*group, "d", "up"]).drop("d", "up")
-        found = written(each.select(*group, "n_values", "percent", F.inline(F.array(_narrowed(F.col("parts"), F.col("rank"))))), "bisection")
+            inside = parts.withColumn("up", F.call_function("shiftright", "part", _finer(depth)))
+            hits = _hits(_counted(inside, [*group, "d", "up"]).join(state, [*group, "d", "up"]))
+        found = written(hits.select(*group, "n_values", "percent", "d", "part", "lo", "hi", "rank"), "bisection")
         done.append(found.filter("lo = hi").select(*group, "n_values", "percent", F.col("lo").alias("value")))
         state = found.filter("lo <> hi").select(*group, "n_values", "percent", "rank", "d", F.col("part").alias("up"))
         if state.isEmpty():
@@ -85,8 +83,22 @@ def percentiles(counts: DataFrame, percents: list[int]) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-#: The least whole number that is at least percent % of all, 1 at least.
-_RANK = "greatest((n_values * percent + 99) div 100, 1L)"
+def _counted(parts: DataFrame, key: list[str]) -> DataFrame:
+    """parts with upto, the rows in a key's parts up to this one."""
+    return parts.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("d", "part")))
+
+
+def _hits(parts: DataFrame) -> DataFrame:
+    """The part that holds the rank, and the rank inside it."""
+    before = F.col("upto") - F.col("n")
+    return parts.filter((F.col("rank") > before) & (F.col("rank") <= F.col("upto"))).withColumn("rank", F.col("rank") - before)
+
+
+def _first_hits(parts: DataFrame, group: list[str], percents: list[int]) -> DataFrame:
+    """The same for each percent's rank in the whole group: the least whole number that is at least percent % of all, 1 at least."""
+    counted = _counted(parts, group).withColumn("n_values", F.sum("n").over(Window.partitionBy(*group)))
+    ranks = F.array(*[F.struct(F.lit(int(p)).alias("percent"), F.expr(f"greatest((n_values * {int(p)} + 99) div 100, 1L)").alias("rank")) for p in percents])
+    return _hits(counted.select("*", F.inline(ranks)))
 
 
 def _digits_dropped(depth: int) -> Column:
@@ -101,18 +113,3 @@ def _part(depth: int) -> Column:
 def _finer(depth: int) -> Column:
     """By how many digits a part at this depth is longer than the one before it."""
     return _digits_dropped(depth - 1) - _digits_dropped(depth)
-
-
-def _narrowed(parts: Column, rank: Column) -> Column:
-    """The part of the sorted parts (d, part, n, lo, hi) that holds the rank, and the rank in it."""
-    names = ("d", "part", "lo", "hi", "rank")
-    none = [F.lit(None).cast("int" if c == "d" else "long").alias(c) for c in names]
-    start = F.struct(F.lit(0).cast("long").alias("below"), *none)
-
-    def step(acc: Column, x: Column) -> Column:
-        here = acc["part"].isNull() & (acc["below"] + x["n"] >= rank)
-        new = {c: x[c] for c in names[:4]} | {"rank": rank - acc["below"]}
-        return F.struct((acc["below"] + x["n"]).alias("below"), *[F.when(here, new[c]).otherwise(acc[c]).alias(c) for c in names])
-
-    out = F.aggregate(parts, start, step)
-    return F.struct(*[out[c].alias(c) for c in names])
