@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import micros
+from ..functions.blocked import MOST_DAYS, blocked_lag
+from ..functions.keys import block_of, micros
 
 #: So many of a job's last durations count for its peak.
 RECENT = 10
@@ -31,8 +32,9 @@ def heartbeat_interval(locks: DataFrame, least_ms: int = 1000, default_ms: int =
     return locks.agg(F.greatest(F.lit(least_ms), F.coalesce(shortest, F.lit(default_ms))).cast("long").alias("interval_ms"))
 
 
-def self_fenced(renewals: DataFrame, entity: str, at: str, tiebreak: str, ttl_ms: int) -> DataFrame:
+def self_fenced(renewals: DataFrame, entity: str, at: str, tiebreak: str, ttl_ms: int, block_days: float = MOST_DAYS) -> DataFrame:
     """Renewals that come when the one before is at least a lease old: the holder had to stop itself in between."""
-    along = Window.partitionBy(entity).orderBy(at, tiebreak)
-    gap = (micros(at) - micros(F.lag(at).over(along))) / 1000
-    return renewals.withColumn("gap_ms", gap.cast("long")).filter(F.col("gap_ms") >= ttl_ms)
+    blocked = renewals.filter(F.col(at).isNotNull()).withColumn("_b", block_of(at, block_days))
+    along = blocked_lag(blocked, [entity], "_b", [F.col(at), F.col(tiebreak)], {"_before": at})
+    gap = ((micros(at) - micros("_before")) / 1000).cast("long")
+    return along.withColumn("gap_ms", gap).filter(F.col("gap_ms") >= ttl_ms).drop("_b", "_before")

@@ -12,17 +12,19 @@ from ..functions.keys import block_of, micros
 BLOCK_DAYS = 7.0
 
 
-def rival_effects(log: DataFrame, entity: str, actor: str, at: str, seconds: int) -> DataFrame:
+def rival_effects(log: DataFrame, entity: str, actor: str, at: str, seconds: int, block_days: float = BLOCK_DAYS) -> DataFrame:
     """The rows of log that follow one of another actor on the same entity by less than so many seconds.
 
     Instead of joining the log with itself, the least and greatest actor of the seconds before are compared with the
-    row's own. Rows at the same time don't follow each other.
+    row's own. Rows at the same time don't follow each other. Windows stay inside (entity, block of time): a row near a
+    block's end goes into the next block too, where it is only looked back at.
     """
-    us = micros(at)
-    before = Window.partitionBy(entity).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), -1)
-    low, high = F.min(actor).over(before), F.max(actor).over(before)
-    marked = log.withColumn("_us", us).withColumns({"_low": low, "_high": high})
-    return marked.filter((F.col("_low") != F.col(actor)) | (F.col("_high") != F.col(actor))).drop("_us", "_low", "_high")
+    reach, length = seconds * 1_000_000 - 1, max(1, int(block_days * 86_400_000_000))
+    own, last = (F.floor(us / F.lit(length)) for us in (F.col("_us"), F.col("_us") + reach))
+    spread = log.filter(F.col(at).isNotNull()).withColumn("_us", micros(at)).withColumns({"_own": own, "_b": F.explode(F.sequence(own, last))})
+    before = Window.partitionBy(entity, "_b").orderBy("_us").rangeBetween(-reach, -1)
+    marked = spread.withColumns({"_low": F.min(actor).over(before), "_high": F.max(actor).over(before)}).filter("_b = _own")
+    return marked.filter((F.col("_low") != F.col(actor)) | (F.col("_high") != F.col(actor))).drop("_us", "_own", "_b", "_low", "_high")
 
 
 def out_of_order(log: DataFrame, entity: str, at: str, tiebreak: str, token: str, block_days: float = BLOCK_DAYS) -> DataFrame:

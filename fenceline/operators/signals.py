@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import micros, millis_between
+from ..functions.blocked import MOST_DAYS, blocked_lag
+from ..functions.keys import block_of, micros, millis_between
 
 
 def heartbeats(outcomes: DataFrame) -> DataFrame:
@@ -52,11 +53,12 @@ def fixed_rate_ticks(jobs: DataFrame) -> DataFrame:
     return jobs.filter("rate_ms > 0 and last_at >= first_at").select("job_name", F.explode(F.sequence("first_at", "last_at", step)).alias("tick_at"))
 
 
-def start_delays(runs: DataFrame, tiebreak: str, pause_ms: int) -> DataFrame:
+def start_delays(runs: DataFrame, tiebreak: str, pause_ms: int, block_days: float = MOST_DAYS) -> DataFrame:
     """runs with late_ms: how much later than a pause after the job's run before each one started; null for the first.
 
-    A rate means run, then pause: ticks missed in the meantime aren't made up for.
+    A rate means run, then pause: ticks missed in the meantime aren't made up for. Runs without a start are left out.
     """
-    along = Window.partitionBy("job_name").orderBy("started_at", tiebreak)
-    due = micros(F.lag("finished_at").over(along)) + F.lit(pause_ms * 1000)
-    return runs.withColumn("late_ms", F.floor((micros("started_at") - due) / 1000))
+    blocked = runs.filter("started_at is not null").withColumn("_b", block_of("started_at", block_days))
+    along = blocked_lag(blocked, ["job_name"], "_b", [F.col("started_at"), F.col(tiebreak)], {"_ended": "finished_at"})
+    due = micros("_ended") + F.lit(pause_ms * 1000)
+    return along.withColumn("late_ms", F.floor((micros("started_at") - due) / 1000)).drop("_b", "_ended")
