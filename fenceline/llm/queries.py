@@ -75,12 +75,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_named(held_languages(_labelled(spark, sf_dir)), table(spark, sf_dir, "lang_names")).select("doc_id", "lang_found")
 
 
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of every document, with a confidence value; nulls where there is no dialogue."""
+    return _labelled(spark, sf_dir).select("doc_id", "lang", "confidence")
+
+
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of cues in one language, with a confidence value."""
     return _labelled(spark, sf_dir).select("doc_id", F.inline("segments"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_languages, p8_segments)}
 
 
 def _percentiles_sql(value: str) -> str:

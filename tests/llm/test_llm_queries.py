@@ -33,3 +33,10 @@ def test_mixture_reaches_its_shares(spark):
 def test_containers_are_full(spark):
     for r in queries.p6_fill(spark, "/root/testdata/sf0.01").collect():
         assert r["fullest"] <= r["capacity_tokens"] and r["used"] > 0.99 and r["n_containers"] <= 1.01 * r["least_containers"]
+
+
+def test_each_document_gets_one_language_row(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    got = queries.QUERIES["p8_languages"](spark, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    assert all((r["lang"] is None) == (r["confidence"] is None) for r in got) and any(r["lang"] for r in got)
