@@ -77,9 +77,10 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphans_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphaned locks of jobs that are registered (ran in the last month) and not paused elsewhere."""
-    recent = table(spark, sf_dir, "job_runs").filter(F.col("started_at") >= F.lit("2025-04-10").cast("timestamp_ntz")).select(clean_name("job_name").alias("job_name"))
-    return orphans(spark, sf_dir).join(recent, "job_name", "left_semi")
+    """Orphaned locks of jobs that are registered (ran at any time) and have no paused lock."""
+    jobs = table(spark, sf_dir, "job_runs").select(clean_name("job_name").alias("job_name")).filter("job_name is not null")
+    paused = _locks(spark, sf_dir).filter("status = 'PAUSED'").select("job_name")
+    return orphans(spark, sf_dir).join(jobs, "job_name", "left_semi").join(paused, "job_name", "left_anti")
 
 
 def acquirable_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
