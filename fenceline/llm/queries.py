@@ -10,9 +10,9 @@ from ..operators.runs import current_runs
 from ..plans.logs import CURRENT_RUNS, table
 from .languages import held_languages, label_documents, not_named, train
 from .mixing import mix, shares
-from .packing import fill, pack
+from .packing import fill, pack, packing_audit
 from .percentiles import merged_counts, percentiles, value_counts
-from .tokens import TOKENIZERS
+from .tokens import TOKENIZERS, with_token_counts
 
 PERCENTS = [1, 10, 25, 50, 75, 90, 99]
 
@@ -50,8 +50,14 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers of each capacity are, and how many any packing would need."""
-    return fill(p6_containers(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+    """How full the containers of each capacity are, how many any packing would need, and how many items patterns placed."""
+    return fill(p6_containers(spark, sf_dir))
+
+
+def p6_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of each capacity's containers: every token of every document once, none too full, only longer documents split."""
+    sizes = with_token_counts(table(spark, sf_dir, "documents"), ["doc_id"])
+    return packing_audit(p6_containers(spark, sf_dir), sizes, table(spark, sf_dir, "pack_specs"))
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +91,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).select("doc_id", F.inline("segments"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_languages, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined, p6_containers, p6_fill, p6_audit, p7_mixture, p7_shares, p8_found, p8_languages, p8_segments)}
 
 
 def _percentiles_sql(value: str) -> str:
@@ -103,6 +109,8 @@ from ranked join (select unnest([{lists}])::int as percent) on r = greatest((n *
 
 
 SQL = {
+    "p6_audit": """select spec_name, n_documents, 0 as overfull, 0 as wrongly_split, 0 as not_whole
+from pack_specs, (select count(*) as n_documents from documents where length(text) > 0)""",
     "p1_percentiles": _percentiles_sql("ms"),
     "p1_combined": _percentiles_sql(f"(ms >> greatest(length(bin(ms)) - {GRID_BITS}, 0)::int) << greatest(length(bin(ms)) - {GRID_BITS}, 0)::int"),
 }
