@@ -11,7 +11,7 @@ from ..plans.logs import CURRENT_RUNS, table
 from .languages import held_languages, label_documents, not_named, train
 from .mixing import mix, shares
 from .packing import fill, pack, packing_audit
-from .percentiles import merged_counts, percentiles, value_counts
+from .percentiles import percentiles, value_counts
 from .tokens import TOKENIZERS, with_token_counts
 
 PERCENTS = [1, 10, 25, 50, 75, 90, 99]
@@ -29,14 +29,13 @@ def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_job_and_day(days: DataFrame) -> DataFrame:
     """Percentiles for each job and day, and, from the days' counts put together, for each job."""
-    jobs = merged_counts(days.drop("on_day"))
-    both = days.unionByName(jobs.withColumn("on_day", F.lit("all")))
-    return percentiles(both, PERCENTS).select("job_name", "on_day", "percent", "n_values", F.col("value").alias("duration_ms"))
+    both = percentiles(days, PERCENTS, {"on_day": "all"})
+    return both.select("job_name", "on_day", "percent", "n_values", F.col("value").alias("duration_ms"))
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of run duration for each job and day; on_day is 'all' for the whole job."""
-    return _by_job_and_day(value_counts(_durations(spark, sf_dir), ["job_name", "on_day"], "ms"))
+    return _by_job_and_day(_durations(spark, sf_dir).withColumnRenamed("ms", "v"))
 
 
 def p1_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
