@@ -36,7 +36,7 @@ def _order(v: Column | str, kind: DataType) -> Column:
         return v.cast("long")
     if isinstance(kind, (FloatType, DoubleType)):
         bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v.cast("double") + F.lit(0.0)).cast("long")
-        return F.when(bits < 0, bits.bitwiseXOR(F.lit(_LOW_63))).otherwise(bits)
+        return F.when(v.isNull(), None).when(bits < 0, bits.bitwiseXOR(F.lit(_LOW_63))).otherwise(bits)
     if isinstance(kind, DecimalType) and kind.precision <= 18:
         return (v * F.lit(10**kind.scale).cast("decimal(19,0)")).cast("long")
     raise TypeError(f"no percentiles of {kind.simpleString()}")
@@ -76,6 +76,11 @@ def rounded_down(value: Column | str, keep_bits: int, kind: DataType) -> Column:
     return _value(_signed(F.call_function("shiftleft", _shifted(size, drop), drop), order), kind)
 
 
+def _whole(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows without a null in columns; NaN is none."""
+    return df.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]))
+
+
 def value_counts(df: DataFrame, group: list[str], value: str, keep_bits: int | None = None) -> DataFrame:
     """The part that can be combined: (group, v, n), how often each value occurs, on the grid if keep_bits is given.
 
@@ -84,8 +89,7 @@ def value_counts(df: DataFrame, group: list[str], value: str, keep_bits: int | N
     however large it is. Null values and rows with a null in group are left out. NaN is a value, larger than all others.
     Made ahead of the shuffle as far as possible.
     """
-    rows = df.select(*group, F.col(value).alias("v")).filter(F.col("v").isNotNull())
-    rows = rows.na.drop(subset=group) if group else rows
+    rows = _whole(df.select(*group, F.col(value).alias("v")), [*group, "v"])
     if keep_bits:
         rows = rows.withColumn("v", rounded_down("v", keep_bits, rows.schema["v"].dataType))
     return rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
@@ -119,7 +123,7 @@ def percentiles(counts: DataFrame, percents: list[float], together: dict[str, ob
     if any(not 0 <= p <= 100 for p in percents):
         raise ValueError(f"percents are from 0 to 100: {percents}")
     n = F.col("n").cast("long") if "n" in counts.columns else F.lit(1).cast("long")
-    rows = counts.na.drop(subset=[*group, "v"]).select(*group, _order("v", kind).alias("v"), n.alias("n"))
+    rows = _whole(counts, [*group, "v"]).select(*group, _order("v", kind).alias("v"), n.alias("n"))
     digits = F.length(F.bin(_size(F.col("v"))))
     alive = written(rows.withColumn("d", F.when(F.col("v") < 0, -digits).otherwise(digits).cast("byte")), "value-counts")
     state, done = None, []
