@@ -11,7 +11,8 @@ from ..functions.keys import clean_name
 from ..session import written
 from .tokens import VOCABULARY, with_token_counts
 
-#: A document's place in the draw has LEVELS groups of BUCKET_BITS binary digits.
+#: A document's place in the draw has LEVELS groups of BUCKET_BITS binary digits. Documents of one place, which among 2 ** 30
+#: documents about one pair has, are drawn together.
 BUCKET_BITS = 12
 LEVELS = 5
 
@@ -111,13 +112,13 @@ def _set_thresholds(spark: SparkSession, placed: DataFrame, targets: list[Target
                 del open_[source]
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", budget: int | None = None, shortfall: float = 0.05, seed: int = 0, vocabulary: str = VOCABULARY) -> tuple[DataFrame, list[Target], int]:
+def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", budget: int | None = None, shortfall: float = 0.0, seed: int = 0, vocabulary: str = VOCABULARY) -> tuple[DataFrame, list[Target], int]:
     """Draw documents so that each source gives its target share of all tokens: (mixture, targets with budgets, total).
 
     mixture: (key, source, n_tokens, copies), copies from 1 to the source's max_repeats. A source gives share * budget
     tokens, to the nearest document, or, where it has too little, all it has max_repeats times; what it then lacks isn't
     made up by others. Without a budget it is the largest for which at most `shortfall` of it lacks (see
-    largest_budget). Thresholds are nested: with the same seed a smaller budget draws a subset. Sources are compared
+    largest_budget): by default every source that has documents gives its share, and the least able one bounds the total. Thresholds are nested: with the same seed a smaller budget draws a subset. Sources are compared
     trimmed and ignoring case. Documents without a source, or with one that has no target, are not drawn; null and empty
     texts have 0 tokens and add nothing; copies of a text are documents of their own, rows with the same key are drawn
     together. Empty tables give an empty mixture.
@@ -158,3 +159,24 @@ def shares(mixture: DataFrame, targets: list[Target], total: int) -> DataFrame:
     joined = joined.withColumn("one", F.lit(1)).join(F.broadcast(everything.withColumn("one", F.lit(1))), "one", "left")  # one row
     share = F.when(F.col("all_tokens") > 0, F.col("given_tokens") / F.col("all_tokens")).otherwise(F.lit(0.0))
     return joined.withColumn("actual_share", share).drop("one", "all_tokens")
+
+
+def mixture_audit(mixture: DataFrame, targets: list[Target], docs: DataFrame, sizes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(source, n_docs, too_often, not_theirs, off_budget) of each target: the documents it has, and three counts that must be 0.
+
+    sizes: (key, n_tokens); keys are unique. too_often: documents used more than max_repeats times; not_theirs: documents drawn
+    that are of another source; off_budget: 1 if what the source gives is off its budget by more than half of its longest document.
+    """
+    spark = mixture.sparkSession
+    asked = spark.createDataFrame([(t.source, t.max_repeats, t.budget) for t in targets], "source string, max_repeats int, budget long")
+    own = docs.select(F.col(key), clean_name("source").alias("own")).join(sizes, key)
+    has = own.groupBy(F.col("own").alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_tokens").alias("longest"))
+    drawn = mixture.join(own.select(key, "own"), key).join(F.broadcast(asked), "source")  # asked: a row a target
+    given = drawn.groupBy("source").agg(
+        F.sum(F.col("n_tokens") * F.col("copies")).alias("given"),
+        F.count(F.when(F.col("copies") > F.col("max_repeats"), 1)).alias("too_often"),
+        F.count(F.when(~F.col("own").eqNullSafe(F.col("source")), 1)).alias("not_theirs"),
+    )
+    both = asked.join(has, "source", "left").join(given, "source", "left").na.fill(0)
+    off = (F.abs(F.col("given") - F.col("budget")) * 2 > F.col("longest")).cast("int")
+    return both.select("source", "n_docs", "too_often", "not_theirs", off.alias("off_budget"))

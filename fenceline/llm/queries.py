@@ -9,7 +9,7 @@ from ..functions.keys import micros
 from ..operators.runs import current_runs
 from ..plans.logs import CURRENT_RUNS, table
 from .languages import held_languages, label_documents, not_named, train
-from .mixing import mix, shares
+from .mixing import mix, mixture_audit, shares
 from .packing import fill, pack, packing_audit
 from .percentiles import percentiles, value_counts
 from .tokens import TOKENIZERS, with_token_counts
@@ -69,6 +69,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(*mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
 
 
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mixture: no document too often or of another source, every source within half a document of its budget."""
+    docs = table(spark, sf_dir, "documents")
+    mixture, targets, _ = mix(docs, table(spark, sf_dir, "mix_targets"))
+    return mixture_audit(mixture, targets, docs, with_token_counts(docs, ["doc_id"]))
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labeller = train(docs, table(spark, sf_dir, "lang_samples"), f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -90,7 +97,18 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).select("doc_id", F.inline("segments"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined, p6_containers, p6_fill, p6_audit, p7_mixture, p7_shares, p8_found, p8_languages, p8_segments)}
+def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the labels: a row a document, and stretches inside its cues, in a known language, with a confidence."""
+    labelled = _labelled(spark, sf_dir)
+    langs = [r["lang"] for r in table(spark, sf_dir, "lang_samples").select("lang").distinct().collect()]  # a fixed table
+    segment = lambda s: s["lang"].isin(langs) & (s["first_cue"] >= 1) & (s["last_cue"] - s["first_cue"] + 1 >= s["n_cues"]) & s["confidence"].between(0, 1)
+    right = F.forall("segments", segment) & ((F.size("segments") > 0) == (F.col("n_cues") > 0))
+    main = F.when(F.col("n_cues") > 0, F.col("lang").isin(langs) & F.col("confidence").between(0, 1)).otherwise(F.col("lang").isNull() & F.col("confidence").isNull())
+    bad = lambda c: F.count(F.when(~F.coalesce(c, F.lit(False)), 1))
+    return labelled.agg(F.countDistinct("doc_id").alias("n_documents"), bad(right).alias("bad_stretches"), bad(main).alias("bad_languages"))
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined, p6_containers, p6_fill, p6_audit, p7_mixture, p7_shares, p7_audit, p8_found, p8_languages, p8_segments, p8_audit)}
 
 
 def _percentiles_sql(value: str) -> str:
@@ -108,6 +126,9 @@ from ranked join (select unnest([{lists}])::int as percent) on r = greatest((n *
 
 
 SQL = {
+    "p7_audit": """select lower(trim(t.source)) as source, count(d.doc_id) as n_docs, 0 as too_often, 0 as not_theirs, 0 as off_budget
+from mix_targets t left join documents d on lower(trim(d.source)) = lower(trim(t.source)) group by 1""",
+    "p8_audit": "select count(distinct doc_id) as n_documents, 0 as bad_stretches, 0 as bad_languages from documents",
     "p6_audit": """select spec_name, n_documents, 0 as overfull, 0 as wrongly_split, 0 as not_whole
 from pack_specs, (select count(*) as n_documents from documents where length(text) > 0)""",
     "p1_percentiles": _percentiles_sql("ms"),

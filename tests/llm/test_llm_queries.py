@@ -28,6 +28,11 @@ def test_mixture_reaches_its_shares(spark):
     for r in report.values():
         assert r["most_copies"] <= r["max_repeats"] and r["given_tokens"] <= r["asked_tokens"] + 20_000
     assert report["radio_play"]["actual_share"] == 0
+    able = sum(r["target_share"] for r in report.values() if r["n_docs"])
+    longest = 45_000 / sum(r["given_tokens"] for r in report.values())
+    for r in report.values():
+        if r["n_docs"]:
+            assert abs(r["actual_share"] - r["target_share"] / able) <= longest / 2
 
 
 def test_containers_are_full(spark):
