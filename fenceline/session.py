@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,12 @@ def local_session(cpus: int = 8, app: str = "fenceline", **extra: str) -> SparkS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in a single process, else an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         known = "file://" + tempfile.mkdtemp(prefix="fenceline-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -36,19 +41,49 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and outlives executors.
 
-    The files are removed when the Python process ends.
+    The files are removed by discard, at the end of a scratch block, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _paths[path] = spark
+    back._written_at = path
+    return back
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def discard(df: DataFrame) -> None:
+    """Remove a written table that nothing will read any more."""
+    path = getattr(df, "_written_at", None)
+    if path in _paths:
+        _remove(path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Remove at the end what was written inside; results that read it must have been used by then."""
+    before = set(_paths)
+    try:
+        yield
+    finally:
+        for path in [p for p in _paths if p not in before]:
+            _remove(path)
+
+
+_paths: dict[str, SparkSession] = {}
+
+
+def _remove(path: str) -> None:
+    spark = _paths.pop(path)
     try:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     except Exception:  # the session may be gone already
         pass
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_paths):
+        _remove(path)

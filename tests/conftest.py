@@ -11,12 +11,13 @@ from fenceline.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session(
         4,
         "tests",
         **{
             "spark.sql.shuffle.partitions": "4",
+            "spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri(),
             "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.ui.showConsoleProgress": "false",
         },
