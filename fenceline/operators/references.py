@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: A key is heavy with more than one in so many of all reference rows, so there are fewer heavy keys than this.
 HEAVY_ONE_IN = 1000
 
@@ -37,17 +39,6 @@ def _per_key_and_period(refs: References) -> DataFrame:
     return rows.groupBy(*refs.key, "period").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
 
 
-def _verdicts(refs: References, grouped: DataFrame) -> DataFrame:
-    """(key, orphan_kind, first_at) of the keys that have an orphan reference; a late key's orphans are those before first_at."""
-    key = list(refs.key)
-    keyed = grouped.groupBy(*key).agg(F.min("lo").alias("lo"))
-    seen = _known(refs.targets, refs.key).groupBy(*key).agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("there"))
-    gone = _known(refs.deletions, refs.key).select(*key).distinct().withColumn("gone", F.lit(True))
-    kind = F.when(F.col("there").isNull(), F.when(F.col("gone"), "deleted").otherwise("missing")).when(F.col("lo") < F.col("first_at"), "late")
-    found = keyed.join(seen, key, "left").join(gone, key, "left").withColumn("orphan_kind", kind)
-    return found.filter("orphan_kind is not null").select(*key, "orphan_kind", "first_at")
-
-
 def _heavy_keys(refs: References, grouped: DataFrame) -> DataFrame | None:
     """The heavy keys as a local table of fewer than HEAVY_ONE_IN rows."""
     least = max(HEAVY_LEAST, refs.rows.count() // HEAVY_ONE_IN)
@@ -56,14 +47,51 @@ def _heavy_keys(refs: References, grouped: DataFrame) -> DataFrame | None:
     return grouped.sparkSession.createDataFrame(found, heavy.schema) if found else None
 
 
-def _of_keys(rows: DataFrame, wanted: DataFrame, key: list[str], heavy: DataFrame | None) -> DataFrame:
-    """rows joined with wanted (one row a key): heavy keys by broadcast, their rows staying where they are, the rest by shuffle."""
+def _split(df: DataFrame, key: list[str], heavy: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of heavy keys, the others), told apart where they are."""
     if heavy is None:
-        return rows.join(wanted, key)
+        return None, df
     few = F.broadcast(heavy)
-    some = rows.join(F.broadcast(wanted.join(few, key, "left_semi")), key)
-    rest = rows.join(few, key, "left_anti").join(wanted.join(few, key, "left_anti"), key)
-    return some.unionByName(rest)
+    return df.join(few, key, "left_semi"), df.join(few, key, "left_anti")
+
+
+@dataclass(frozen=True)
+class _Verdicts:
+    """(key, orphan_kind, first_at) of the keys that have an orphan reference; a late key's orphans are those before first_at."""
+
+    heavy: DataFrame | None
+    rest: DataFrame
+
+
+def _verdicts(refs: References, grouped: DataFrame, heavy: DataFrame | None) -> _Verdicts:
+    """Heavy keys are checked against the targets by broadcast, the others by shuffled joins.
+
+    A heavy key's targets and deletions are aggregated where they are, to one row a key, so all that is joined for them is
+    smaller than HEAVY_ONE_IN rows.
+    """
+    key = list(refs.key)
+    first = lambda df: df.groupBy(*key).agg(F.min("at").alias("_first_at"))
+    low = lambda df: df.groupBy(*key).agg(F.min("lo").alias("lo"))
+    seen, gone = _known(refs.targets, refs.key).select(*key, "at"), _known(refs.deletions, refs.key).select(*key)
+    parts = [_split(df, key, heavy) for df in (grouped, seen, gone)]
+    (many, keyed), (many_seen, seen), (many_gone, gone) = parts
+    out = {"heavy": None}
+    for name, mine, there, deleted, hint in (("heavy", many, many_seen, many_gone, F.broadcast), ("rest", keyed, seen, gone, lambda df: df)):
+        if mine is None:
+            continue
+        mine, there = low(mine), hint(first(there))
+        absent = mine.join(there, key, "left_anti").join(hint(deleted.distinct().withColumn("gone", F.lit(True))), key, "left")
+        absent = absent.select(*key, F.when(F.col("gone"), "deleted").otherwise("missing").alias("orphan_kind"), F.lit(None).cast(refs.targets.schema["at"].dataType).alias("_first_at"))
+        late = mine.join(there, key).filter(F.col("lo") < F.col("_first_at")).select(*key, F.lit("late").alias("orphan_kind"), "_first_at")
+        out[name] = absent.unionByName(late)
+    return _Verdicts(**out)
+
+
+def _of_keys(rows: DataFrame, wanted: _Verdicts, key: list[str], heavy: DataFrame | None) -> DataFrame:
+    """rows joined with the verdicts on their keys: those of heavy keys by broadcast, their rows staying where they are, the rest by shuffle."""
+    many, others = _split(rows, key, heavy)
+    rest = others.join(wanted.rest, key)
+    return rest if many is None else many.join(F.broadcast(wanted.heavy), key).unionByName(rest)  # fewer than HEAVY_ONE_IN rows
 
 
 def orphan_rows(refs: References) -> DataFrame:
@@ -74,31 +102,42 @@ def orphan_rows(refs: References) -> DataFrame:
     late. Repeated rows are returned each. Without targets every reference is an orphan; without references there is none.
     Other columns of targets and deletions are ignored.
 
-    References are pre-aggregated by key and period, so that targets are looked up once a key; rows are then taken by
-    the keys that have orphans: those of heavy keys by a broadcast of less than HEAVY_ONE_IN rows, without a shuffle, the
-    others by a shuffled join.
+    References are pre-aggregated by key and period into a written table, so that targets are looked up once a key. Heavy
+    keys are checked by broadcast, the others by a shuffled anti-join (see _verdicts); rows are then taken by the keys that
+    have orphans: those of heavy keys where they are, by a broadcast of less than HEAVY_ONE_IN rows, the others by a shuffled
+    join; both are put together.
     """
     key = list(refs.key)
-    grouped = _per_key_and_period(refs)
-    hits = _of_keys(_known(refs.rows, refs.key), _verdicts(refs, grouped), key, _heavy_keys(refs, grouped))
-    return hits.filter("orphan_kind <> 'late' or at < first_at").drop("first_at")
+    grouped = written(_per_key_and_period(refs), "references")
+    heavy = _heavy_keys(refs, grouped)
+    hits = _of_keys(_known(refs.rows, refs.key), _verdicts(refs, grouped, heavy), key, heavy)
+    return hits.filter("orphan_kind <> 'late' or at < _first_at").drop("_first_at")
 
 
 def orphan_counts(refs: References) -> DataFrame:
     """(period, orphan_kind, n_orphans) for each month of the references' load time; null for a null time.
 
-    Counted from the sums by key and period; only months in which a key's first target arrives are counted by row.
+    Counted from the sums by key and period, those of heavy keys and of the others each by their verdicts, both put together;
+    only months in which a key's first target arrives are counted by row.
     """
     key = list(refs.key)
-    grouped = _per_key_and_period(refs)
-    judged = grouped.join(_verdicts(refs, grouped), key)
+    grouped = written(_per_key_and_period(refs), "references")
+    heavy = _heavy_keys(refs, grouped)
+    verdicts = _verdicts(refs, grouped, heavy)
+    judged = _of_keys(grouped, verdicts, key, heavy)
     late = F.col("orphan_kind") == "late"
-    whole = judged.filter(~late | (F.col("hi") < F.col("first_at"))).select("period", "orphan_kind", "n")
-    split = judged.filter(late & (F.col("lo") < F.col("first_at")) & (F.col("hi") >= F.col("first_at"))).select(*key, "orphan_kind", F.col("period").alias("_p"), "first_at")
+    whole = judged.filter(~late | (F.col("hi") < F.col("_first_at"))).select("period", "orphan_kind", "n")
+    straddles = late & (F.col("lo") < F.col("_first_at")) & (F.col("hi") >= F.col("_first_at"))
+
+    def months(part: DataFrame | None, verdict: DataFrame | None) -> DataFrame | None:
+        if part is None:
+            return None
+        return part.join(verdict, key).filter(straddles).select(*key, "orphan_kind", F.col("period").alias("_p"), "_first_at")
+
+    many, others = _split(grouped, key, heavy)
+    split = _Verdicts(months(many, verdicts.heavy), months(others, verdicts.rest))
     rows = _known(refs.rows, refs.key).select(*key, "at")
-    part = _of_keys(rows, split, key, _heavy_keys(refs, grouped)).filter(
-        F.col("_p").eqNullSafe(F.date_format("at", "yyyy-MM")) & (F.col("at") < F.col("first_at"))
-    )
+    part = _of_keys(rows, split, key, heavy).filter(F.col("_p").eqNullSafe(F.date_format("at", "yyyy-MM")) & (F.col("at") < F.col("_first_at")))
     # a late key's rows without a time are in no month and never late
     counts = whole.unionByName(part.select(F.col("_p").alias("period"), "orphan_kind", F.lit(1).cast("long").alias("n")))
     return counts.groupBy("period", "orphan_kind").agg(F.sum("n").alias("n_orphans"))

@@ -75,3 +75,39 @@ def test_clashing_columns_are_returned(spark):
     refs = make(spark, [("x", 1)], [], [])
     wide = References(refs.rows.selectExpr("*", "1 as n", "2 as lo", "3 as there"), refs.targets.selectExpr("*", "1 as n"), refs.deletions, ("k",))
     assert orphan_rows(wide).select("rec_id", "n", "lo", "there", "orphan_kind").first()[1:] == (1, 2, 3, "missing")
+
+
+def test_rows_of_a_hot_key_are_not_shuffled(spark):
+    """A third of all references have one key: no exchange of the plan gets more than the others and a row a key and month."""
+    n = 3000
+    df = spark.range(n).selectExpr("id as rec_id", "case when id % 3 = 0 then 'hot' else concat('k', id % 50) end as k", "timestamp_ntz'2025-01-20' + make_dt_interval(0, 0, int(id)) as at")
+    targets = spark.createDataFrame([(f"k{i}", day(0)) for i in range(40)], "k string, at timestamp_ntz")
+    refs = References(df, targets, spark.createDataFrame([], "k string"), ("k",))
+    heavy = references._heavy_keys(refs, references._per_key_and_period(refs))
+    assert heavy is None  # 1000 rows are no burden yet
+    monkey = references.HEAVY_LEAST
+    try:
+        references.HEAVY_LEAST = 100
+        heavy = references._heavy_keys(refs, references._per_key_and_period(refs))
+        assert [r["k"] for r in heavy.collect()] == ["hot"]
+        many, others = references._split(df, ["k"], heavy)
+        assert many.count() == n // 3 and others.count() == n - n // 3
+        found = orphan_rows(refs)
+        plan = found._jdf.queryExecution().executedPlan()
+        assert found.count() == n // 3 + sum(1 for i in range(n) if i % 3 and i % 50 >= 40)
+        found.collect()
+        assert max(shuffled(plan)) <= n - n // 3
+    finally:
+        references.HEAVY_LEAST = monkey
+
+
+def shuffled(node):
+    """Records written by each exchange of an executed plan."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled(node.executedPlan())
+    if "QueryStageExec" in name:
+        return shuffled(node.plan())
+    out = [node.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
+    children = node.children()
+    return out + [x for i in range(children.size()) for x in shuffled(children.apply(i))]
