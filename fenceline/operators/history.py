@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocked import blocked_lag, blocked_lead
@@ -34,10 +34,11 @@ def bitemporal_ledger(
     Attributes are compared as they are, null being a value. Other columns are ignored; an empty input gives an empty
     ledger.
 
-    The sweep runs by (entity, block of valid time) over sorted partitions, so a hot entity is spread over its blocks and
-    a task holds one block. What lies beyond a block's end reaches it as the few moments at which the first snapshot
-    known there changes; these come from a sweep over the blocks' running minima, a row a block where snapshots are
-    recorded in order.
+    Everything runs by (entity, block of valid time), so a hot entity is spread over its blocks and a task holds one block.
+    What lies beyond a block's end reaches it as the few moments at which the first snapshot known there changes; these come
+    from a sweep over the blocks' running minima, a row or two a block where snapshots are recorded in order or newest first.
+    Blocks whose snapshots were recorded in order of valid time, one for each time, are told by two windows. Only the
+    others, with late, repeated or corrected snapshots, are swept row by row, over sorted partitions.
     """
     rows = snapshots.select(
         F.col(entity).alias("e"),
@@ -47,19 +48,53 @@ def bitemporal_ledger(
         F.col(valid_at).alias("s"),
         F.struct(*[F.col(a) for a in attributes]).alias("v"),
     ).filter("e is not null and s is not null")
-    recorded = Window.partitionBy("e", "b").orderBy("l", "r", "s")
-    low = F.min("s").over(recorded.rowsBetween(Window.unboundedPreceding, -1))
-    minima = rows.select("e", "b", "l", "r", "s", low.alias("low")).filter("low is null or s < low").drop("low")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     steps = (
-        minima.repartition("e")
+        _block_minima(rows)
+        .repartition("e")
         .sortWithinPartitions("e", "l", "r", "b")
         .mapInArrow(_first_beyond, f"e {kinds['e']}, b bigint, l {kinds['l']}, r {kinds['r']}, s {kinds['s']}")
     )
     events = rows.withColumn("step", F.lit(False)).unionByName(steps.withColumns({"step": F.lit(True), "v": F.lit(None).cast(rows.schema["v"].dataType)}))
-    schema = f"e {kinds['e']}, valid_from {kinds['s']}, valid_to {kinds['s']}, recorded_from {kinds['l']}, recorded_to {kinds['l']}, v {kinds['v']}"
-    swept = events.repartition("e", "b").sortWithinPartitions("e", "b", "l", "r", F.desc("step")).mapInArrow(_sweep, schema)
-    return swept.select(F.col("e").alias(entity), "valid_from", "valid_to", "recorded_from", "recorded_to", *[F.col("v")[a].alias(a) for a in attributes])
+    by_time = Window.partitionBy("e", "b").orderBy("step", "s", "l", "r")
+    recorded = F.struct("l", "r")
+    before = F.lag(F.struct("step", "s", recorded.alias("at"))).over(by_time)
+    amiss = before["step"] | (before["s"] == F.col("s")) | (before["at"] >= recorded)
+    events = events.withColumns({"amiss": F.coalesce(amiss, F.lit(False)), "after": F.lead(F.struct("s", "l")).over(by_time)})
+    events = events.withColumn("swept", F.max("amiss").over(Window.partitionBy("e", "b")))
+    spans = "valid_from {s}, valid_to {s}, recorded_from {l}, recorded_to {l}, v {v}".format(**kinds)
+    ordered = events.filter("not swept and not step").select("e", F.inline(_told_in_order(kinds["s"], kinds["l"])))
+    late = events.filter("swept").select("e", "b", "l", "r", "s", "v", "step")  # still by (e, b), as the windows had it
+    swept = late.sortWithinPartitions("e", "b", "l", "r", F.desc("step")).mapInArrow(_sweep, f"e {kinds['e']}, {spans}")
+    both = ordered.select(*swept.columns).unionByName(swept)
+    return both.select(F.col("e").alias(entity), "valid_from", "valid_to", "recorded_from", "recorded_to", *[F.col("v")[a].alias(a) for a in attributes])
+
+
+def _told_in_order(valid: str, recorded: str) -> Column:
+    """The beliefs about one snapshot when the next one, if any, was recorded after it: until further notice, then up to the next."""
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda *columns: F.struct(*[c.alias(n) for c, n in zip(columns, ("valid_from", "valid_to", "recorded_from", "recorded_to", "v"))])
+    s, l, v, after = F.col("s"), F.col("l"), F.col("v"), F.col("after")  # noqa: E741
+    first = row(s, none(valid), l, after["l"], v)
+    now = row(s, after["s"], F.when(after.isNull(), l).otherwise(after["l"]), none(recorded), v)
+    replaced = after.isNotNull() & after["l"].isNotNull() & (l.isNull() | (l < after["l"]))
+    return F.when(replaced, F.array(first, now)).otherwise(F.array(now))
+
+
+def _block_minima(rows: DataFrame) -> DataFrame:
+    """(e, b, l, r, s): for each block the moments at which its first known snapshot changes, as far as anything before it listens.
+
+    The first of a block is always among them. Of those recorded before any earlier block of the entity had a snapshot only
+    the last counts, so snapshots recorded newest first have two rows a block.
+    """
+    recorded = Window.partitionBy("e", "b").orderBy("l", "r", "s")
+    low = F.min("s").over(recorded.rowsBetween(Window.unboundedPreceding, -1))
+    minima = rows.select("e", "b", "l", "r", "s", low.alias("low")).filter("low is null or s < low")
+    minima = minima.withColumn("until", F.lead(F.struct("l", "r")).over(recorded))
+    earlier = Window.partitionBy("e").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    heard = rows.groupBy("e", "b").agg(F.min(F.struct("l", "r")).alias("at")).select("e", "b", F.min("at").over(earlier).alias("heard"))
+    kept = F.col("low").isNull() | (F.col("heard").isNotNull() & (F.col("until").isNull() | (F.col("until") >= F.col("heard"))))
+    return minima.join(heard, ["e", "b"]).filter(kept).select("e", "b", "l", "r", "s")
 
 
 def versions(ledger: DataFrame, entity: str, attributes: list[str], block_days: float = BLOCK_DAYS) -> DataFrame:

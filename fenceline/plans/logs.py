@@ -233,4 +233,30 @@ select src_table, strftime(loaded_at, '%Y-%m') as period, orphan_kind, count(*)
 select job_name, {_text('snap_at')} as valid_from, coalesce({_text('nxt')}, 'open') as valid_to from ver""",
     "p5_versions": f"""with {_VERSIONS}
 select job_name, {_text('snap_at')} as valid_from, coalesce({_text('nxt')}, 'open') as valid_to, holder, status, token from ver""",
+    "p5_ledger": f"""with sn as (
+  select {_name('job_name')} as job_name, snap_at as s, loaded_at as l, row({_name('holder')}, {_name('status')}, token) as v,
+    row_number() over (partition by {_name('job_name')} order by loaded_at nulls first, rec_id, snap_at) as o
+  from lock_snapshots where {_name('job_name')} is not null and snap_at is not null
+),
+-- what is said about a moment itself, and the next moments that become known, each before all those known so far
+own as (select job_name, s, o, l, v, null::timestamp as nxt, v is distinct from lag(v) over w or lag(o) over w is null as tells from sn window w as (partition by job_name, s order by o)),
+known as (select job_name, s, min(o) as since from sn group by 1, 2),
+later as (
+  select k.job_name, k.s, y.o, y.l, y.s as nxt, min(y.s) over (partition by k.job_name, k.s order by y.o rows between unbounded preceding and 1 preceding) as low
+  from known k join sn y on y.job_name = k.job_name and y.s > k.s
+),
+told as (
+  select job_name, s, o, l, v, nxt, tells from own
+  union all select job_name, s, o, l, null, nxt, true from later where low is null or nxt < low
+),
+state as (
+  select job_name, s, o, l, tells, last_value(v ignore nulls) over w as v, min(nxt) over w as nxt from told
+  window w as (partition by job_name, s order by o rows unbounded preceding)
+),
+belief as (
+  select job_name, s, l, v, nxt, lead(l) over w as until, lead(o) over w is not null as replaced
+  from state join known using (job_name, s) where o >= since and tells window w as (partition by job_name, s order by o)
+)
+select job_name, {_text('s')} as valid_from, {_text('nxt')} as valid_to, {_text('l')} as recorded_from, {_text('until')} as recorded_to, v[1] as holder, v[2] as status, v[3] as token
+from belief where not replaced or (until is not null and (l is null or l < until))""",
 }

@@ -86,3 +86,18 @@ def test_empty_and_clashing_names(spark):
     df = frame(spark, [("x", 0, 0, "p", 1)]).selectExpr("*", "1 as b", "2 as step", "3 as valid_from")
     assert bitemporal_ledger(df, "e", "s", "l", "r", ["v", "w"]).count() == 1
     assert bitemporal_ledger(df.limit(0), "e", "s", "l", "r", ["v", "w"]).count() == 0
+
+
+def test_newest_first_is_a_row_or_two_a_block(spark, rows):
+    from fenceline.operators.history import _block_minima
+
+    values = [("x", s, 100 - s, "p", s % 3) for s in range(60)]
+    raw = frame(spark, values).selectExpr("e", "floor(datediff(s, '2025-01-01') / 7) as b", "l", "r", "s")
+    assert _block_minima(raw).count() <= 2 * 9
+    got = [tuple(r) for r in ledger(spark, values).collect()]
+    assert {(r[1], r[2]) for r in got if r[4] is None} == {(day(s), day(s + 1) if s < 59 else None) for s in range(60)}
+    assert len(got) == len(values)  # the next one is known before, so nothing is ever replaced
+    in_order = [("x", s, s, "p", s % 3) for s in range(60)]
+    assert ledger(spark, in_order).count() == 2 * 60 - 1
+    mixed = [("x", 0, 0, "p", 1), *values[1:]]  # one old snapshot listens to all that comes
+    assert sum(r[1] == day(0) for r in ledger(spark, mixed).collect()) == 60
