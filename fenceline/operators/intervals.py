@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocked import blocked_lead
 from ..functions.keys import block_of, micros
+from ..session import written
 
 #: Days in a block of start times; bounds what one task holds of one entity. See block_days_for.
 BLOCK_DAYS = 7.0
@@ -26,16 +27,17 @@ def merge_intervals(df: DataFrame, entity: str, start: str, end: str, block_days
     end after their start, span no time and are left out; repeated rows count as members each. Other columns are
     ignored. An empty input gives an empty result.
 
-    Session windows merge inside (entity, block of start). The latest end of the blocks before, by (entity, block),
-    tells which sessions something from an earlier block reaches: those are one interval, as are the last sessions of
-    blocks; only these, two a block at most, are merged again over the whole entity. So a hot entity is spread over its
-    blocks.
+    Session windows merge inside (entity, block of start), and the sessions are written. The latest end of the blocks
+    before, by (entity, block), tells which sessions something from an earlier block reaches: those are one interval, as are the
+    last sessions of blocks; only these, two a block at most, are merged again over the whole entity. So a hot entity is spread
+    over its blocks.
     """
     rows = df.select(F.col(entity).alias("e"), F.col(start).alias("s"), F.col(end).alias("t"))
     rows = rows.filter(F.col("e").isNotNull() & (F.col("t") > F.col("s"))).withColumn("b", block_of("s", block_days))
     before = Window.partitionBy("e").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    reach = rows.groupBy("e", "b").agg(F.max("t").alias("top")).withColumn("reach", F.max("top").over(before))
-    local = _sessions(rows.withColumn("n", F.lit(1).cast("long")), "e", "b").join(reach, ["e", "b"])
+    sessions = written(_sessions(rows.withColumn("n", F.lit(1).cast("long")), "e", "b"), "sessions")
+    reach = sessions.groupBy("e", "b").agg(F.max("t").alias("top")).withColumn("reach", F.max("top").over(before))
+    local = sessions.join(reach, ["e", "b"])
     reached = F.coalesce(F.col("s") <= F.col("reach"), F.lit(False))
     local = local.withColumns({"head": reached, "edge": reached | (F.col("t") == F.col("top"))})
     edges = local.filter("edge").groupBy("e", "b", "head").agg(F.min("s").alias("s"), F.max("t").alias("t"), F.sum("n").alias("n"))
