@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocked import blocked_lag, blocked_lead
 from ..functions.keys import block_of
+from ..session import written
 
 #: Days of valid time that one sweep holds of one entity. See block_days_for.
 BLOCK_DAYS = 7.0
@@ -61,11 +62,11 @@ def bitemporal_ledger(
     before = F.lag(F.struct("step", "s", recorded.alias("at"))).over(by_time)
     amiss = before["step"] | (before["s"] == F.col("s")) | (before["at"] >= recorded)
     events = events.withColumns({"amiss": F.coalesce(amiss, F.lit(False)), "after": F.lead(F.struct("s", "l")).over(by_time)})
-    events = events.withColumn("swept", F.max("amiss").over(Window.partitionBy("e", "b")))
+    events = written(events.withColumn("swept", F.max("amiss").over(Window.partitionBy("e", "b"))).drop("amiss"), "history")
     spans = "valid_from {s}, valid_to {s}, recorded_from {l}, recorded_to {l}, v {v}".format(**kinds)
     ordered = events.filter("not swept and not step").select("e", F.inline(_told_in_order(kinds["s"], kinds["l"])))
-    late = events.filter("swept").select("e", "b", "l", "r", "s", "v", "step")  # still by (e, b), as the windows had it
-    swept = late.sortWithinPartitions("e", "b", "l", "r", F.desc("step")).mapInArrow(_sweep, f"e {kinds['e']}, {spans}")
+    late = events.filter("swept").select("e", "b", "l", "r", "s", "v", "step")
+    swept = late.repartition("e", "b").sortWithinPartitions("e", "b", "l", "r", F.desc("step")).mapInArrow(_sweep, f"e {kinds['e']}, {spans}")
     both = ordered.select(*swept.columns).unionByName(swept)
     return both.select(F.col("e").alias(entity), "valid_from", "valid_to", "recorded_from", "recorded_to", *[F.col("v")[a].alias(a) for a in attributes])
 
@@ -103,10 +104,10 @@ def versions(ledger: DataFrame, entity: str, attributes: list[str], block_days:
     valid_to is the start of the entity's next version, null for its last.
     """
     now = ledger.filter("recorded_to is null").select(entity, "valid_from", *attributes).withColumn("_b", block_of("valid_from", block_days))
-    now = now.withColumn("_v", F.struct(*attributes))
+    now = written(now.withColumn("_v", F.struct(*attributes)), "believed-now")
     order = [F.col("valid_from")]
     before = blocked_lag(now, [entity], "_b", order, {"_was": "_v"})
-    starts = before.filter(F.col("_was").isNull() | ~F.col("_was").eqNullSafe(F.col("_v"))).drop("_was", "_v")
+    starts = written(before.filter(F.col("_was").isNull() | ~F.col("_was").eqNullSafe(F.col("_v"))).drop("_was", "_v"), "version-starts")
     return blocked_lead(starts, [entity], "_b", order, {"valid_to": "valid_from"}).select(entity, "valid_from", "valid_to", *attributes)
 
 
