@@ -64,13 +64,13 @@ class _Verdicts:
 
 
 def _verdicts(refs: References, grouped: DataFrame, heavy: DataFrame | None) -> _Verdicts:
-    """Heavy keys are checked against the targets by broadcast, the others by shuffled joins.
+    """Heavy keys are checked against the targets by broadcast, the others by a shuffled join.
 
-    A heavy key's targets and deletions are aggregated where they are, to one row a key, so all that is joined for them is
+    It is the anti-join and the look-up of the first load in one: keys without a target stay, and those with one that came late. A heavy key's targets and deletions are aggregated where they are, to one row a key, so all that is joined for them is
     smaller than HEAVY_ONE_IN rows.
     """
     key = list(refs.key)
-    first = lambda df: df.groupBy(*key).agg(F.min("at").alias("_first_at"))
+    first = lambda df: df.groupBy(*key).agg(F.min("at").alias("_first_at"), F.lit(True).alias("there"))
     low = lambda df: df.groupBy(*key).agg(F.min("lo").alias("lo"))
     seen, gone = _known(refs.targets, refs.key).select(*key, "at"), _known(refs.deletions, refs.key).select(*key)
     parts = [_split(df, key, heavy) for df in (grouped, seen, gone)]
@@ -79,11 +79,9 @@ def _verdicts(refs: References, grouped: DataFrame, heavy: DataFrame | None) ->
     for name, mine, there, deleted, hint in (("heavy", many, many_seen, many_gone, F.broadcast), ("rest", keyed, seen, gone, lambda df: df)):
         if mine is None:
             continue
-        mine, there = low(mine), hint(first(there))
-        absent = mine.join(there, key, "left_anti").join(hint(deleted.distinct().withColumn("gone", F.lit(True))), key, "left")
-        absent = absent.select(*key, F.when(F.col("gone"), "deleted").otherwise("missing").alias("orphan_kind"), F.lit(None).cast(refs.targets.schema["at"].dataType).alias("_first_at"))
-        late = mine.join(there, key).filter(F.col("lo") < F.col("_first_at")).select(*key, F.lit("late").alias("orphan_kind"), "_first_at")
-        out[name] = absent.unionByName(late)
+        found = low(mine).join(hint(first(there)), key, "left").join(hint(deleted.distinct().withColumn("gone", F.lit(True))), key, "left")
+        kind = F.when(F.col("there").isNull(), F.when(F.col("gone"), "deleted").otherwise("missing")).when(F.col("lo") < F.col("_first_at"), "late")
+        out[name] = found.withColumn("orphan_kind", kind).filter("orphan_kind is not null").select(*key, "orphan_kind", "_first_at")
     return _Verdicts(**out)
 
 
