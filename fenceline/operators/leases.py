@@ -7,7 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PROFILES = ("as_built", "as_documented", "expiring")
+#: as_built keeps leases in whole seconds, as_built_ms to the millisecond, under the same rules.
+PROFILES = ("as_built", "as_built_ms", "as_documented", "expiring")
 
 #: Microseconds that the expiring profile keeps a lock's row beyond its lease.
 GRACE = 5_000_000
@@ -34,7 +35,7 @@ def orphaned(as_of: Column, status: Column, expires_at: Column) -> Column:
 def next_run_id(now: Column, status: Column, expires_at: Column, run_id: Column, candidate: Column, profile: str = "as_built") -> Column:
     """The run id after an acquisition: a new one after a clean release (as_built: only while the lease still runs)."""
     free = status == "FREE"
-    return F.when(free & (expires_at >= now) if profile == "as_built" else free, candidate).otherwise(run_id)
+    return F.when(free & (expires_at >= now) if profile.startswith("as_built") else free, candidate).otherwise(run_id)
 
 
 def whole_seconds(ttl_ms: Column) -> Column:
@@ -73,7 +74,8 @@ def transition(lock: Lock, cmd: Command, profile: str = "as_built") -> tuple[Loc
     """The lock after a command, and whether the command took effect.
 
     Commands: ACQUIRE, RENEW, RELEASE, SAVE (a fenced write: allowed if the token is the lock's), PAUSE, RESUME, ORPHAN,
-    CLEAR_LOCK (token back to 0) and NOOP. A lease of less than a second is refused where the store keeps whole seconds.
+    CLEAR_LOCK (token back to 0) and NOOP. Where the store keeps whole seconds, the rest of a lease is cut off; stores refuse
+    one of less than a second.
     """
     if cmd.op == "NOOP":
         return lock, True
@@ -82,16 +84,17 @@ def transition(lock: Lock, cmd: Command, profile: str = "as_built") -> tuple[Loc
     if profile == "expiring":
         return _expiring(lock, cmd, ours)
     live = lock.expires_at >= cmd.at
+    ttl = cmd.ttl // 1_000_000 * 1_000_000 if profile == "as_built" else cmd.ttl
     match cmd.op:
         case "ACQUIRE":
             if lock.status == "PAUSED" or (lock.status == "HELD" and live):
                 return lock, False
             fresh = lock.status == "FREE" and (live or profile == "as_documented")
             run_id = cmd.candidate if fresh else lock.run_id
-            return Lock("HELD", lock.token + 1, cmd.pod, run_id, cmd.at, cmd.at + cmd.ttl, True), True
+            return Lock("HELD", lock.token + 1, cmd.pod, run_id, cmd.at, cmd.at + ttl, True), True
         case "RENEW":
             ok = ours and lock.status == "HELD" and live
-            return (replace(lock, expires_at=cmd.at + cmd.ttl), True) if ok else (lock, False)
+            return (replace(lock, expires_at=cmd.at + ttl), True) if ok else (lock, False)
         case "RELEASE":
             ok = ours and lock.status == "HELD"
             return (replace(lock, status="FREE"), True) if ok else (lock, False)

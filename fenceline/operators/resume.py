@@ -67,6 +67,8 @@ class JobContext:
     method: str | None = None
     key_prefix: str = "fl"
     items_processed: int = 0
+    #: Told after each item ("on_item_processed") and each stored checkpoint ("on_checkpoint_saved").
+    tell: Callable[..., None] = lambda event, *args: None
     is_resume: bool = field(init=False)
     item_id: str | None = field(default=None, init=False)
 
@@ -133,6 +135,7 @@ class JobContext:
         finally:
             self.item_id = None
         self.items_processed += 1
+        self.tell("on_item_processed", self.job_name)
         return state
 
     def _store(self, name: str, status: str, last: str | None, state: object, folds: bool) -> None:
@@ -179,7 +182,8 @@ class JobContext:
     def _save(self, stage: str, status: str, stored: str | None, kind: str | None) -> None:
         if self.leases.token(self.job_name) != self.token:
             raise LockStolen(f"{self.job_name}: {self.token} is not the lock's token")
-        self.checkpoints.save(Checkpoint(self.job_name, self.run_id, stage, status, stored, kind, self.token, self.now()))
+        if self.checkpoints.save(Checkpoint(self.job_name, self.run_id, stage, status, stored, kind, self.token, self.now())):
+            self.tell("on_checkpoint_saved", self.job_name)
 
 
 def stage_name(stage: Enum | str) -> str:

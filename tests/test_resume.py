@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from fenceline.operators.jobs import Cron, EventLog, JobDefinition, Registry, exactly_once, requires_context
 from fenceline.operators.resume import JobContext, LockStolen, fold, page, pages, remaining
-from fenceline.operators.validate import CheckpointTypeError, check_type, check_value, definition_findings, value_from_json
-from fenceline.sources.stores import Checkpoint, MemoryCheckpoints, MemoryLeases
+from fenceline.operators.validate import CheckpointTypeError, check_type, check_value, checkpoint_type, definition_findings, value_from_json
+from fenceline.sources.stores import Checkpoint, ChunkedCheckpoints, IndexedCheckpoints, MemoryCheckpoints, MemoryLeases, store
 
 
+@checkpoint_type
 class Stage(Enum):
     LOAD = 1
     SUM = 2
 
 
+@checkpoint_type
 @dataclass
 class Money:
     amount: int
@@ -131,8 +133,8 @@ def test_higher_stored_token_stays():
     row = lambda token, value: Checkpoint("j", "r", "s", "COMPLETE", value, None, token, 0)
     assert store.save(row(99, "a")) and not store.save(row(5, "b")) and store.save(row(99, "c"))
     assert store.load("j", "r", "s").stored_value == "c"
-    store.clear_run("j", "r")
-    assert not store.any("j", "r") and store.stage_names("j") == set()
+    assert not store.clear_run("j", "r", 5) and store.any("j", "r")
+    assert store.clear_run("j", "r", 99) and not store.any("j", "r") and store.stage_names("j") == set()
 
 
 def test_item_key_is_the_same_after_takeover(make):
@@ -162,7 +164,7 @@ def test_registry_outcomes(make):
         registry.leases.acquire("slow", "other", "z", make.clock(), 500_000_000)
 
     assert [registry.tick(n) for n in ("good", "bad", "slow", "slow")] == ["SUCCESS", "FAILED", "STOLEN", None]
-    assert ("good", "items", "success", 5) in log.rows and ("slow", "acquisition", "skipped", 1) in log.rows
+    assert log.count("good", "items") == 5 and log.count("good", "saves") == 6 and ("slow", "acquisition", "skipped", 1) in log.rows
     assert not make.checkpoints.stage_names("good")
     assert registry.recover(["good", "unknown"]) == {"good": "SUCCESS"}
     with pytest.raises(ValueError):
@@ -215,9 +217,25 @@ def test_types(spark):
     check_value(Money(1, "x"))
     with pytest.raises(CheckpointTypeError, match=r"\$root\.unit"):
         check_value(Money(1, ["x"]))
-    for kind in (None, " ", "no.such.Type"):
+    for kind in (None, " ", "no.such.Type", "subprocess.Popen", "builtins.eval", "os.system", "pathlib.Path"):
         with pytest.raises(CheckpointTypeError):
-            value_from_json("1", kind)
+            value_from_json('"true"', kind)
+    for text, kind in (('"x"', "builtins.int"), ("[1]", "builtins.str"), ('"NO"', "test_resume.Stage"), ('{"amount": "x", "unit": "y"}', "test_resume.Money"), ("{", "builtins.str")):
+        with pytest.raises(CheckpointTypeError):
+            value_from_json(text, kind.replace("test_resume", Stage.__module__))
+    assert value_from_json("2", "builtins.float") == 2.0 and value_from_json("true", "builtins.bool") is True
+
+
+def test_only_registered_classes_are_stored():
+    class Other(Enum):
+        A = 1
+
+    with pytest.raises(CheckpointTypeError):
+        check_value(Other.A)
+    with pytest.raises(CheckpointTypeError):
+        checkpoint_type(int)
+    checkpoint_type(Other)
+    check_value(Other.A)
 
 
 def test_definition_findings(spark, rows):
@@ -245,3 +263,100 @@ def test_items_as_frames(spark, rows):
     for n in range(1, 251):
         want[n % 2] = (want[n % 2] * 3 + n) % 1000
     assert {r["k"]: r["state"] for r in folded.collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["relational", "document", "key-value", "dynamo", "documented"])
+def test_stores_of_all_kinds(kind):
+    leases, checkpoints = store(kind)
+    leases.seed("j", "r", 0)
+    old, run = leases.acquire("j", "p", "r", 1_000_000, 2_000_000)
+    row = lambda token, stage: Checkpoint("j", run, stage, "COMPLETE", None, None, token, 0)
+    assert checkpoints.save(row(old, "a"))
+    new, again = leases.acquire("j", "q", "r2", 9_000_000, 2_000_000)
+    assert (new, checkpoints.clear_run("j", run, old)) == (old + 1, False) and checkpoints.any("j", run)
+    assert checkpoints.save(row(new, "b")) and not checkpoints.save(row(old, "b"))
+    assert checkpoints.clear_run("j", run, new) and not checkpoints.any("j", run)
+    assert checkpoints.stage_names("j") == ({"a", "b"} if kind == "key-value" else set())
+    checkpoints.save(row(new, "c"))
+    assert checkpoints.clear_job("j") == 1 and checkpoints.clear_job("j") == 0 and checkpoints.stage_names("j") == set()
+    with pytest.raises(ValueError):
+        store("other")
+
+
+def test_leases_of_part_of_a_second():
+    for kind, until in (("relational", 3_000_000), ("document", 3_500_000), ("dynamo", 3_500_000)):
+        leases, _ = store(kind)
+        leases.seed("j", "r", 0)
+        leases.acquire("j", "p", "c", 2_000_000, 1_500_000)
+        assert leases.locks["j"].expires_at == until
+    leases = MemoryLeases()
+    leases.seed("j", "r", 0)
+    with pytest.raises(ValueError):
+        leases.acquire("j", "p", "c", 0, 500_000)
+
+
+def test_a_lock_lost_between_two_parts_of_a_delete():
+    leases = MemoryLeases("as_built_ms")
+    leases.seed("j", "r", 0)
+    token, run = leases.acquire("j", "p", "c", 1, 1_000_000)
+    kept = ChunkedCheckpoints(leases, lambda n: n and leases.acquire("j", "q", "d", 5_000_000, 1_000_000))
+    for n in range(150):
+        kept.save(Checkpoint("j", run, f"s{n:03d}", "COMPLETE", None, None, token, 0))
+    kept.save(Checkpoint("j", run + "0", "s", "COMPLETE", None, None, token, 0))
+    assert not kept.clear_run("j", run, token) and len(kept.of_run("j", run)) == 51 and kept.any("j", run + "0")
+    assert IndexedCheckpoints(None, stale_index=False).stage_names("j") == set()
+
+
+def test_admin_and_run_history(spark, make):
+    from datetime import datetime, timezone
+
+    log = EventLog()
+    registry = Registry(make.leases, make.checkpoints, make.clock, listeners=[log])
+    broken = [True]
+
+    @registry.scheduled("job", cron="0 0 2 * * *")
+    def job(context):
+        context.for_each(Stage.LOAD, ITEMS, str, lambda x: None)
+        if broken:
+            broken.clear()
+            raise ValueError("first time")
+
+    assert registry.act("job", "trigger") == "FAILED" and make.checkpoints.any("job", registry.recorder.rows[0][2])
+    assert registry.status("job", datetime(2025, 1, 1, tzinfo=timezone.utc)) == {
+        "next_trigger_at": datetime(2025, 1, 1, 2, tzinfo=timezone.utc), "last_error": "first time", "n_saves": 6, "n_recoveries": 1,
+    }
+    assert registry.act("job", "pause") is None and registry.tick("job") is None
+    assert not registry.clear("job", "checkpoint") and registry.clear("job", "checkpoint", confirm=True)
+    assert registry.act("job", "resume") == "SUCCESS" and registry.errors["job"] is None and log.count("job", "items") == 10
+    assert registry.clear("job", "lock", confirm=True) and make.leases.token("job") == 0
+    for wrong in (lambda: registry.act("job", "stop"), lambda: registry.clear("job", "runs", True)):
+        with pytest.raises(ValueError):
+            wrong()
+    runs = {r["status"]: r for r in registry.recorder.history(spark).collect()}
+    assert runs["SUCCESS"]["items_processed"] == 5 and runs["FAILED"]["error_message"] == "first time"
+    assert all(r["started_at"] < r["finished_at"] for r in runs.values()) and not registry.active and registry.stop() == []
+
+
+def test_ticks_go_on_after_a_steal(make):
+    registry = Registry(make.leases, make.checkpoints, make.clock)
+    thefts = [1]
+
+    @registry.scheduled("job", fixed_rate_ms=1000)
+    def job(context):
+        if thefts:
+            make.clock.t += 400_000_000
+            token, _ = registry.leases.acquire("job", "other", "z", make.clock(), 5_000_000)
+            registry.leases.release("job", token, make.clock())
+            thefts.clear()
+        context.assert_still_held()
+
+    assert [registry.tick("job") for _ in range(3)] == ["STOLEN", "SUCCESS", "SUCCESS"]
+    assert [r[4] for r in registry.recorder.rows if r[0] == "FINISH"] == ["STOLEN", "SUCCESS", "SUCCESS"]
+
+
+def test_optional_definition_findings(spark, rows):
+    jobs = spark.createDataFrame(
+        [("a", "x", -1, 300, True, False, ["s"], ["s", "old"], True, False), ("b", "x", -1, 300, False, False, None, None, False, None)],
+        "job_name string, cron string, fixed_rate_ms long, ttl_seconds int, exactly_once boolean, returns_value boolean, stages array<string>, stored_stages array<string>, transactional boolean, checks_lock boolean",
+    )
+    assert rows(definition_findings(jobs)) == [("a", "ERROR", "TRANSACTION_AROUND_JOB"), ("a", "WARNING", "NEVER_CHECKS_LOCK"), ("a", "WARNING", "STALE_STAGES"), ("b", "WARNING", "NO_STAGES")]
