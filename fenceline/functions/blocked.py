@@ -50,11 +50,29 @@ def blocked_lead(df: DataFrame, key: list[str], block: str, order: list[Column],
     return blocked_shift(df, key, block, order, take, False)
 
 
-def blocked_running(df: DataFrame, key: list[str], block: str, order: list[Column], take: dict[str, tuple[str, str]], include_current: bool = True) -> DataFrame:
+def blocked_recent_max(df: DataFrame, key: list[str], block: str, order: list[Column], value: str, new: str, recent: int) -> DataFrame:
+    """Add the greatest value of a key's last `recent` rows up to each one, by key and order.
+
+    Inside (key, block) this is a frame of rows. Only a block's first rows look back beyond it, at the last ones of the blocks
+    before: so these ends, less than twice `recent` a block, are windowed over the key.
+    """
+    inside = Window.partitionBy(*key, block).orderBy(*order)
+    back = Window.partitionBy(*key, block).orderBy(*[c.desc() for c in order])
+    across = Window.partitionBy(*key).orderBy(block, *order).rowsBetween(1 - recent, 0)
+    marked = df.withColumns({new: F.max(value).over(inside.rowsBetween(1 - recent, 0)), "_head": F.row_number().over(inside) < recent, "_tail": F.row_number().over(back) < recent})
+    ends = marked.filter("_head or _tail").withColumn(new, F.max(value).over(across)).filter("_head")
+    return marked.filter("not _head").unionByName(ends).drop("_head", "_tail")
+
+
+def blocked_running(
+    df: DataFrame, key: list[str], block: str, order: list[Column], take: dict[str, tuple[str, str]], include_current: bool = True, wider: tuple[str, ...] = ()
+) -> DataFrame:
     """Add running values over a key's rows in order: take[new] = (kind, column), kind one of max, min, sum, count, last.
 
     Windows stay inside (key, block); what the blocks before come to is one row for each (key, block), carried over the
     key and joined back. last is the last value that isn't null. Without include_current a row's own value is left out.
+    wider: columns with wider blocks, from narrow to wide, functions of block. With them the blocks' own rows are carried in
+    blocks again, so no task has all of a key's blocks.
     """
     merge = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "last": lambda a, b: F.coalesce(b, a)}
     merge["count"] = merge["sum"]
@@ -67,8 +85,12 @@ def blocked_running(df: DataFrame, key: list[str], block: str, order: list[Colum
     for new, (kind, old) in take.items():
         last = F.max_by(F.col(old), F.when(F.col(old).isNotNull(), rank))
         totals[f"_c_{new}"] = last if kind == "last" else inside_fn[kind](F.col(old))
-    carried = df.groupBy(*key, block).agg(*[c.alias(n) for n, c in totals.items()])
-    carried = carried.select(*key, block, *[over_fn[kind](F.col(f"_c_{new}")).over(before).alias(f"_b_{new}") for new, (kind, _) in take.items()])
+    carried = df.groupBy(*key, block, *wider).agg(*[c.alias(n) for n, c in totals.items()])
+    if wider:
+        again = {f"_b_{new}": ("sum" if kind == "count" else kind, f"_c_{new}") for new, (kind, _) in take.items()}
+        carried = blocked_running(carried, key, wider[0], [F.col(block)], again, False, wider[1:]).select(*key, block, *again)
+    else:
+        carried = carried.select(*key, block, *[over_fn[kind](F.col(f"_c_{new}")).over(before).alias(f"_b_{new}") for new, (kind, _) in take.items()])
     local = df.withColumns({f"_i_{new}": inside_fn[kind](F.col(old)).over(inside) for new, (kind, old) in take.items()})
     joined = local.join(carried, [*key, block])
     return joined.withColumns({new: merge[kind](F.col(f"_b_{new}"), F.col(f"_i_{new}")) for new, (kind, _) in take.items()}).drop(

@@ -95,6 +95,11 @@ def run_stage_key(run_id: Column | str, stage: Column | str) -> Column:
     return F.concat_ws("#", col(run_id), col(stage))
 
 
+def of_run(key: Column | str, run_id: Column | str) -> Column:
+    """Whether a key made by run_stage_key is one of the run's."""
+    return F.startswith(col(key), F.concat(col(run_id), F.lit("#")))
+
+
 def progress_json(last_id: Column, state: Column | None = None, state_type: Column | None = None) -> Column:
     fields = [last_id.alias("lastId")]
     if state is not None:

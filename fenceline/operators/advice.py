@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocked import MOST_DAYS, blocked_lag
+from ..functions.blocked import MOST_DAYS, blocked_lag, blocked_recent_max
 from ..functions.keys import block_of, micros
 
 #: So many of a job's last durations count for its peak.
 RECENT = 10
 
 
-def peak_of_recent(runs: DataFrame, order: list[Column], duration: str, recent: int = RECENT) -> DataFrame:
-    """runs with `peak`, the longest of a job's last durations up to this run."""
-    frame = Window.partitionBy("job_name").orderBy(*order).rowsBetween(-(recent - 1), 0)
-    return runs.withColumn("peak", F.max(duration).over(frame))
+def peak_of_recent(runs: DataFrame, at: str, tiebreak: str, duration: str, recent: int = RECENT, block_days: float = MOST_DAYS) -> DataFrame:
+    """runs with `peak`, the longest of a job's last durations up to this run, in order of (at, tiebreak), inside blocks of time."""
+    blocked = runs.withColumn("_b", block_of(at, block_days))
+    return blocked_recent_max(blocked, ["job_name"], "_b", [F.col(at), F.col(tiebreak)], duration, "peak", recent).drop("_b")
 
 
 def lease_advice(peaks: DataFrame, order: list[Column], ttl_seconds: Column) -> DataFrame:
     """The first run of each job at which its peak passes half the lease, with the lease recommended."""
     over = peaks.filter(F.col("peak") > ttl_seconds * 500)
     first = Window.partitionBy("job_name").orderBy(*order)
-    advised = over.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    advised = over.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")  # a group limit ahead of the shuffle
     return advised.withColumn("recommended_ttl_s", F.expr("peak * 2 div 1000 + 1"))
 
 

@@ -35,6 +35,55 @@ def out_of_order(log: DataFrame, entity: str, at: str, tiebreak: str, token: str
     return run.filter(F.col(token) < F.col("run_max")).drop("_b")
 
 
+def guarded(log: DataFrame, entity: str, at: str, tiebreak: str, token: str, block_days: float = BLOCK_DAYS) -> DataFrame:
+    """log with `accepted`: whether a ledger that refuses lower tokens than the one it has takes the write."""
+    blocked = log.withColumn("_b", block_of(at, block_days))
+    run = blocked_running(blocked, [entity], "_b", [F.col(at), F.col(tiebreak)], {"_held": ("max", token)}, include_current=False)
+    return run.withColumn("accepted", F.coalesce(F.col(token) >= F.col("_held"), F.lit(True))).drop("_b", "_held")
+
+
+def ledgers(log: DataFrame, entity: str, at: str, tiebreak: str, token: str, block_days: float = BLOCK_DAYS) -> DataFrame:
+    """(entity, final, guarded_final, expected): the token that the last write leaves in a ledger that takes all, that a guarded
+    one ends with, and the highest there was. Writes without a token or a time are left out."""
+    known = log.filter(F.col(token).isNotNull() & F.col(at).isNotNull())
+    last = F.struct(at, tiebreak)
+    return guarded(known, entity, at, tiebreak, token, block_days).groupBy(entity).agg(
+        F.max_by(token, last).alias("final"), F.max_by(token, F.when(F.col("accepted"), last)).alias("guarded_final"), F.max(token).alias("expected")
+    )
+
+
+def invariant_breaks(outcomes: DataFrame) -> DataFrame:
+    """(rule, n): how often what must never be is in a log of outcomes (the columns of a replay), one row a rule.
+
+    token_falls: a token lower after a command than before, but for a lock that was cleared. double_holding: a lock taken while
+    another held it. two_holders: a token given to several. revived_leases: a renewal after the lease had passed.
+    zombie_writes: a write under another token than the lock's. stolen_unmarked: a release under another token than the
+    lock's. One pass over the log, pre-aggregated by (job, token).
+    """
+    taken = (F.col("op") == "ACQUIRE") & F.col("ok")
+    other = F.col("ok") & (F.col("given") != F.col("token_before"))
+    rules = {
+        "token_falls": (F.col("token") < F.col("token_before")) & (F.col("op") != "CLEAR_LOCK"),
+        "double_holding": taken & (F.col("status_before") == "HELD") & (F.col("expires_before") >= F.col("at")),
+        "revived_leases": (F.col("op") == "RENEW") & F.col("ok") & (F.col("expires_before") < F.col("at")),
+        "zombie_writes": (F.col("op") == "SAVE") & other,
+        "stolen_unmarked": (F.col("op") == "RELEASE") & other,
+    }
+    holder = F.when(taken, F.col("holder"))
+    per = outcomes.groupBy("job", "token").agg(*[F.count(F.when(c, 1)).alias(r) for r, c in rules.items()], F.min(holder).alias("low"), F.max(holder).alias("high"))
+    whole = per.agg(*[F.coalesce(F.sum(r), F.lit(0)).alias(r) for r in rules], F.count(F.when(F.col("low") != F.col("high"), 1)).alias("two_holders"))
+    return whole.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in [*rules, "two_holders"]])))
+
+
+def progress_findings(writes: DataFrame, job: str, key: list[str], item: str, at: str, tiebreak: str, block_days: float = BLOCK_DAYS) -> DataFrame:
+    """(job, resets, repeats) of jobs: writes whose cursor is before one stored earlier under the key, and cursors stored again."""
+    rows = writes.filter(F.col(item).isNotNull() & F.col(at).isNotNull()).withColumn("_b", block_of(at, block_days))
+    run = blocked_running(rows, [job, *key], "_b", [F.col(at), F.col(tiebreak)], {"_top": ("max", item)}, include_current=False)
+    resets = run.groupBy(job).agg(F.count(F.when(F.col(item) < F.col("_top"), 1)).alias("resets"))
+    again = rows.groupBy(job, *key, item).agg(F.count(F.lit(1)).alias("n")).groupBy(job).agg(F.sum(F.col("n") - 1).alias("repeats"))
+    return resets.join(again, job)
+
+
 def running_count(log: DataFrame, entity: str, at: str, tiebreak: str, block_days: float = BLOCK_DAYS) -> DataFrame:
     """log with n_so_far, the rows of the entity up to this one."""
     blocked = log.withColumn("_b", block_of(at, block_days)).withColumn("_one", F.lit(1))

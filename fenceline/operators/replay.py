@@ -12,14 +12,14 @@ from .leases import Command, Lock, transition
 #: Columns of a command log, in order.
 COMMANDS = "job string, seq bigint, at bigint, op string, pod string, ttl bigint, token bigint, stale int, candidate string"
 
-OUTCOMES = "job string, seq bigint, at bigint, op string, ok boolean, given bigint, token_before bigint, status string, token bigint, holder string, run_id string, expires_at bigint"
+OUTCOMES = "job string, seq bigint, at bigint, op string, ok boolean, given bigint, token_before bigint, status_before string, expires_before bigint, status string, token bigint, holder string, run_id string, expires_at bigint"
 
 _NAMES = [x.split()[0] for x in OUTCOMES.split(", ")]
 
 
 def outcome(job: str, seq: int, before: Lock, after: Lock, cmd: Command, ok: bool) -> tuple:
     given = before.token - cmd.stale if cmd.token is None else cmd.token
-    return job, seq, cmd.at, cmd.op, ok, given, before.token, after.status, after.token, after.holder, after.run_id, after.expires_at
+    return job, seq, cmd.at, cmd.op, ok, given, before.token, before.status, before.expires_at, after.status, after.token, after.holder, after.run_id, after.expires_at
 
 
 def command(at: int, op: str, pod: str | None, ttl: int | None, token: int | None, stale: int | None, candidate: str | None) -> Command:
@@ -33,7 +33,7 @@ def replay(log: DataFrame, profile: str = "as_built") -> DataFrame:
     has no outcomes. A job's commands depend on each other, so they are one sequence, but it is streamed through its task:
     only the lock's state is held, not the job's rows.
     """
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         job, lock = None, Lock()

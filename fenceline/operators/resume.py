@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from enum import Enum
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +42,52 @@ def pages(items: DataFrame, item_id: str, size: int, block: Column) -> DataFrame
     return ranked.withColumn("page", F.floor((F.col("_rank") - 1) / F.lit(size))).drop("_b", "_one", "_all", "_rank")
 
 
-def fold(items: DataFrame, key: list[str], order: list[str], value: Column, start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """(key, state): any ordered fold of a bounded list of items per key, as a column expression over the sorted list.
+def fold(
+    items: DataFrame, key: list[str], order: list[str], value: str, start: object, step: Callable[[object, object], object], kind: str = "long", stored: DataFrame | None = None
+) -> DataFrame:
+    """(key, state): the ordered left fold of a key's items, state = step(state, value), from start or from a stored state.
 
-    For sums, minima, maxima and the like use blocked_running, which doesn't collect a key's items.
+    step is Python, as the fold's steps depend on each other; kind is the state's type. stored: (key, state) to go on from; its
+    keys are returned even without new items. Items with a null in key belong to nothing. Rows are sorted by key and order
+    inside partitions and streamed: a task holds one state, not a key's items. Sums, minima, maxima and the like are
+    blocked_running's, which splits a hot key too.
     """
-    listed = items.select(*key, F.struct(*order, value.alias("_value")).alias("_item")).groupBy(*key).agg(F.sort_array(F.collect_list("_item")).alias("_items"))
-    return listed.select(*key, F.aggregate("_items", start, lambda acc, x: step(acc, x["_value"])).alias("state"))
+    first = items.select(*key, *order, F.col(value).alias("_value"), F.lit(None).cast(kind).alias("_state"), F.lit(1).alias("_side"))
+    if stored is not None:
+        nothing = [F.lit(None).cast(items.schema[c].dataType).alias(c) for c in order]
+        before = stored.select(*key, *nothing, F.lit(None).cast(items.schema[value].dataType).alias("_value"), F.col("state").cast(kind).alias("_state"), F.lit(0).alias("_side"))
+        first = first.unionByName(before)
+    for c in key:
+        first = first.filter(F.col(c).isNotNull())
+    rows = first.repartition(*key).sortWithinPartitions(*key, "_side", *order).select(*key, "_side", "_state", "_value")
+    fields = [*[(f.name, f.dataType.simpleString()) for f in rows.schema.fields[: len(key)]], ("state", kind)]
+    names, n = [name for name, _ in fields], len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+        done: list[tuple] = []
+        now, state = None, None
+
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
+            done.clear()
+            return out
+
+        for batch in batches:
+            types = [*batch.schema.types[:n], batch.schema.types[n + 1]]
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:n] != now:
+                    if now is not None:
+                        done.append((*now, state))
+                    now, state = row[:n], start
+                state = step(state, row[n + 2]) if row[n] else row[n + 1]
+            if len(done) >= 10_000:
+                yield made()
+        if now is not None:
+            done.append((*now, state))
+            yield made()
+
+    return rows.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in fields))
 
 
 @dataclass

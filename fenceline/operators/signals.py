@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocked import MOST_DAYS, blocked_lag
+from ..functions.blocked import MOST_DAYS, blocked_lag, blocked_running
 from ..functions.keys import block_of, micros, millis_between
 
 
@@ -24,14 +24,15 @@ def heartbeats(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def fencing_time(beats: DataFrame, entity: str, at: str, ttl_ms: int) -> DataFrame:
+def fencing_time(beats: DataFrame, entity: str, at: str, ttl_ms: int, block_days: float = MOST_DAYS) -> DataFrame:
     """(entity, last_ok_at, failed_since, fence_at): when a holder whose renewals fail must stop itself.
 
     beats: `ok` true for a renewal that went through, null for one that couldn't be tried. Failures are put up with until
     a lease has passed since the last success; fence_at is the first failure at which it has.
     """
-    last = F.last(F.when(F.col("ok"), F.col(at)), ignorenulls=True).over(Window.partitionBy(entity).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    judged = beats.withColumn("last_ok_at", last).filter(F.col("ok").isNull() & F.col("last_ok_at").isNotNull())
+    blocked = beats.withColumns({"_b": block_of(at, block_days), "_good": F.when(F.col("ok"), F.col(at))})
+    # the latest success so far is the greatest time of one
+    judged = blocked_running(blocked, [entity], "_b", [F.col(at)], {"last_ok_at": ("max", "_good")}).filter(F.col("ok").isNull() & F.col("last_ok_at").isNotNull())
     past = millis_between("last_ok_at", at) >= ttl_ms
     return judged.groupBy(entity, "last_ok_at").agg(F.min(at).alias("failed_since"), F.min(F.when(past, F.col(at))).alias("fence_at"))
 

@@ -31,6 +31,7 @@ def status_view(locks: DataFrame, checkpoints: DataFrame, runs: DataFrame) -> Da
         F.col("finished_at").alias("last_run_finished_at"),
         millis_between("started_at", "finished_at").alias("last_run_duration_ms"),
         F.col("items_processed").alias("last_run_items"),
+        F.col("error_message").alias("last_error"),
     )
     return locks.join(stage, ["job_name", "run_id"], "left").join(last, "job_name", "left")
 

@@ -40,7 +40,8 @@ class LockProcessor(StatefulProcessor):
 def replay_stream(log: DataFrame, profile: str = "as_built") -> DataFrame:
     """Outcomes of a stream of commands (the columns of COMMANDS). Needs the RocksDB state store.
 
-    Restarted from its checkpoint it goes on with the locks as they were.
+    Restarted from its checkpoint it goes on with the locks as they were. A job's commands of one micro-batch are in memory to be
+    put in order; bound them by the source's own limit (files or bytes a trigger).
     """
     known = log.filter("job is not null and at is not null and op is not null")
     return known.groupBy("job").transformWithState(LockProcessor(profile), OUTCOMES, "Append", "None")

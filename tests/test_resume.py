@@ -258,11 +258,18 @@ def test_items_as_frames(spark, rows):
     assert rows(page(items, "id", "000009", 2).select("id")) == [("000010",), ("000011",)]
     got = pages(items, "id", 100, F.substring("id", 1, 4)).groupBy("page").agg(F.count("*").alias("n"), F.max("id")).collect()
     assert sorted(tuple(r) for r in got) == [(0, 100, "000100"), (1, 100, "000200"), (2, 50, "000250")]
-    folded = fold(items.withColumn("k", F.col("v") % 2), ["k"], ["id"], F.col("v"), F.lit(1).cast("long"), lambda acc, v: (acc * 3 + v) % 1000)
+    step = lambda acc, v: (acc * 3 + v) % 1000
+    keyed = items.withColumn("k", F.col("v") % 2)
+    folded = fold(keyed, ["k"], ["id"], "v", 1, step)
     want = {0: 1, 1: 1}
     for n in range(1, 251):
         want[n % 2] = (want[n % 2] * 3 + n) % 1000
     assert {r["k"]: r["state"] for r in folded.collect()} == want
+    # stopped anywhere and gone on from the stored state it comes to the same
+    half = fold(keyed.filter("v <= 77"), ["k"], ["id"], "v", 1, step)
+    rest = keyed.filter("v > 77").unionByName(spark.createDataFrame([("1", None, None)], "id string, v long, k long"))
+    assert {r["k"]: r["state"] for r in fold(rest, ["k"], ["id"], "v", 1, step, stored=half).collect()} == want
+    assert rows(fold(keyed.limit(0), ["k"], ["id"], "v", 1, step, stored=half)) == rows(half) and fold(keyed.limit(0), ["k"], ["id"], "v", 1, step).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["relational", "document", "key-value", "dynamo", "documented"])

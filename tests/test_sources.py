@@ -65,7 +65,8 @@ def test_peak_and_advice(spark, rows):
 
     df = spark.createDataFrame([("j", n, n * 1000) for n in range(1, 13)] + [("k", 1, 29000), ("l", 1, 31000)], "job_name string, n long, d long")
     order = [F.col("n")]
-    peaks = advice.peak_of_recent(df, order, "d")
+    df = df.selectExpr("*", "timestamp_ntz'2025-01-01' + make_dt_interval(cast(n as int)) t")
+    peaks = advice.peak_of_recent(df, "t", "n", "d")
     assert peaks.filter("job_name = 'j' and n = 12").first()["peak"] == 12000
     assert rows(advice.lease_advice(peaks, order, F.lit(60)).select("job_name", "recommended_ttl_s")) == [("l", 63)]
     assert advice.heartbeat_interval(df.limit(0).selectExpr("d as ttl_ms")).first()[0] == 10000
