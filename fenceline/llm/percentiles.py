@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, IntegralType
 
-from ..session import written
+from ..session import discard, written
 
 #: Each pass cuts an interval at 2 ** PASS_BITS - 1 midpoints at once: so many halvings for one look at the data.
 PASS_BITS = 8
@@ -146,9 +146,12 @@ def percentiles(counts: DataFrame, percents: list[float], together: dict[str, ob
         done.append(found.select(*group, "n_values", F.inline(known)))
         state = found.filter(~F.col("ended")).withColumn("asked", F.filter("asked", lambda r: ~edge(r))).filter(F.size("asked") > 0)
         state = state.select(*group, "d", F.col("part").alias("up"), "n_values", "asked")
+        before = alive
         if state.isEmpty():
+            discard(before)
             break
         alive = written(_open_rows(cut, state.select(*group, "d", "up"), group, together if depth == 0 else None), "open-values")
+        discard(before)
     whole = all(p % 10**PLACES == 0 for p in scaled)
     percent = (F.col("p") / F.lit(10**PLACES)).cast("int" if whole else "double")
     return reduce(DataFrame.unionByName, done).select(*group, "n_values", percent.alias("percent"), _value(F.col("value"), kind).alias("value"))
