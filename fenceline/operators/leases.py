@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,8 +43,7 @@ def whole_seconds(ttl_ms: Column) -> Column:
     return F.floor(ttl_ms / 1000) * 1000
 
 
-@dataclass(frozen=True)
-class Lock:
+class Lock(NamedTuple):
     """State of one job's lock; times in microseconds."""
 
     status: str = "FREE"
@@ -57,8 +56,7 @@ class Lock:
     present: bool = False
 
 
-@dataclass(frozen=True)
-class Command:
+class Command(NamedTuple):
     """One command to a lock. token None: the lock's own, less `stale`."""
 
     op: str
@@ -94,20 +92,20 @@ def transition(lock: Lock, cmd: Command, profile: str = "as_built") -> tuple[Loc
             return Lock("HELD", lock.token + 1, cmd.pod, run_id, cmd.at, cmd.at + ttl, True), True
         case "RENEW":
             ok = ours and lock.status == "HELD" and live
-            return (replace(lock, expires_at=cmd.at + ttl), True) if ok else (lock, False)
+            return (lock._replace(expires_at=cmd.at + ttl), True) if ok else (lock, False)
         case "RELEASE":
             ok = ours and lock.status == "HELD"
-            return (replace(lock, status="FREE"), True) if ok else (lock, False)
+            return (lock._replace(status="FREE"), True) if ok else (lock, False)
         case "SAVE":
             return lock, ours
         case "PAUSE":
-            return replace(lock, status="PAUSED"), True
+            return lock._replace(status="PAUSED"), True
         case "RESUME":
-            return replace(lock, status="FREE"), True
+            return lock._replace(status="FREE"), True
         case "ORPHAN":
-            return replace(lock, status="ORPHANED"), True
+            return lock._replace(status="ORPHANED"), True
         case "CLEAR_LOCK":
-            return replace(lock, status="FREE", holder="", run_id=cmd.candidate, token=0), True
+            return lock._replace(status="FREE", holder="", run_id=cmd.candidate, token=0), True
     raise ValueError(f"unknown command {cmd.op!r}")
 
 
@@ -123,12 +121,12 @@ def _expiring(lock: Lock, cmd: Command, ours: bool) -> tuple[Lock, bool]:
             return Lock("HELD", lock.token + 1, cmd.pod, run_id, now, now + ttl, True), True
         case "RENEW":
             ok = there and ours and lock.expires_at >= now
-            return (replace(lock, expires_at=now + ttl), True) if ok else (lock, False)
+            return (lock._replace(expires_at=now + ttl), True) if ok else (lock, False)
         case "RELEASE":
             ok = there and ours
-            return (replace(lock, status="FREE", present=False), True) if ok else (lock, False)
+            return (lock._replace(status="FREE", present=False), True) if ok else (lock, False)
         case "SAVE":
             return lock, there and ours
         case "CLEAR_LOCK":
-            return replace(lock, status="FREE", holder="", run_id=cmd.candidate, token=0, present=False), True
+            return lock._replace(status="FREE", holder="", run_id=cmd.candidate, token=0, present=False), True
     return lock, False

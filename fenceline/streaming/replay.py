@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import astuple
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -31,7 +30,7 @@ class LockProcessor(StatefulProcessor):
             after, ok = transition(lock, cmd, self.profile)
             yield Row(**dict(zip(_NAMES, outcome(key[0], r["seq"], lock, after, cmd, ok))))
             lock = after
-        self.lock.update(astuple(lock))
+        self.lock.update(tuple(lock))
 
     def close(self) -> None:
         pass
