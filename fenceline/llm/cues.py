@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 #: A line with a start and an end time, in any of the usual notations, with --> or -> between.
@@ -76,6 +76,17 @@ class Notices:
         return self.least < math.inf and sum(get(w, 0.0) for w in set(words)) > self.least
 
 
+def notice_lines(text: str) -> Iterator[tuple[str, bool]]:
+    """The lines that could be notices, without markup and sounds, and whether they have an address or a colour."""
+    for part in TIME_LINE.split(text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text)[1:]:
+        for line in part.split("\n"):
+            if not line or line.isdigit():
+                continue
+            bare = _MARKUP.sub("", line) if "<" in line or "{" in line else line
+            sure = "<" in line and _COLOURED.search(line) or ("." in bare or ":" in bare) and _ADDRESS.search(bare)
+            yield (_SOUND.sub(" ", bare) if _SOUND_SIGNS.search(bare) else bare).strip(), bool(sure)
+
+
 def learn_notices(texts: Iterable[str], rounds: int = 4, floor: float = 0.3) -> Notices:
     """Learn the words of notices, in whatever language, from texts.
 
@@ -87,11 +98,9 @@ def learn_notices(texts: Iterable[str], rounds: int = 4, floor: float = 0.3) ->
     """
     lines: list[tuple[frozenset[str], bool]] = []
     for text in texts:
-        for part in TIME_LINE.split(text.replace("\r\n", "\n").replace("\r", "\n"))[1:]:
-            for line in part.split("\n"):
-                bare = _MARKUP.sub("", line)
-                if words := frozenset(words_of(_SOUND.sub(" ", bare))):
-                    lines.append((words, bool(_COLOURED.search(line) or _ADDRESS.search(bare))))
+        for line, sure in notice_lines(text):
+            if words := frozenset(words_of(line)):
+                lines.append((words, sure))
     marked = [sure for _, sure in lines]
     found = Notices()
     for _ in range(rounds):

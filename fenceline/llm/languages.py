@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import clean_name
-from .cues import Notices, cues_of, learn_notices, looks_misread, repaired, spoken, words_of
+from ..session import discard, scratch, written
+from .corpus import KeyedNotices, Lines, block_of, blocks, fit_words, notices_of, word_counts
+from .cues import cues_of, looks_misread, repaired, spoken, words_of
 from .pieces import PieceModel, fit, read_pieces
 
 SEGMENTS = "array<struct<lang:string,first_cue:int,last_cue:int,n_cues:int,confidence:double>>"
@@ -43,7 +45,7 @@ class Labeller:
 
     model: PieceModel
     settings: Settings = field(default_factory=Settings)
-    notices: Notices = field(default_factory=Notices)
+    notices: KeyedNotices = field(default_factory=KeyedNotices)
 
     def _likelihood(self, line: str) -> float:
         words = words_of(line)
@@ -66,28 +68,33 @@ class Labeller:
                 out.append((number, said))
         return out
 
+    def evidence(self, lines: Lines, words: list[str]) -> np.ndarray:
+        """(lines, languages) evidence of lines of these words."""
+        ids = self.model.ids(words)
+        return lines.sums(self.model.relative()[ids]).astype(np.float64)
+
+    def scored(self, docs: list[list[tuple[int, list[list[str]]]]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What scores gives, of documents as lines gives them."""
+        said = [words for cues in docs for _, lines in cues for words in lines]
+        every = [w for words in said for w in words]
+        evidence = self.evidence(Lines(np.arange(len(every)), np.array([len(words) for words in said], dtype=np.int64)), every)
+        at = 0
+        for cues in docs:
+            owner = np.repeat(np.arange(len(cues)), np.array([len(lines) for _, lines in cues], dtype=np.int64))
+            yield np.array([n for n, _ in cues], dtype=np.int64), owner, evidence[at : at + len(owner)]
+            at += len(owner)
+
     def scores(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text: cue numbers, cue of each line, (lines, languages) evidence."""
         for at in range(0, len(texts), self.settings.slice_docs):
-            words: list[str] = []
-            sizes: list[int] = []
-            docs = []
-            for text in texts[at : at + self.settings.slice_docs]:
-                cues = self.lines(text) if text else []
-                owner = []
-                for k, (_, lines) in enumerate(cues):
-                    for line in lines:
-                        words += line
-                        sizes.append(len(line))
-                        owner.append(k)
-                docs.append((np.array([n for n, _ in cues], dtype=np.int64), np.array(owner, dtype=np.int64)))
-            ids = self.model.ids(words)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if sizes else np.zeros(0, dtype=np.int64)
-            evidence = np.add.reduceat(self.model.relative()[ids], starts, axis=0) if sizes else np.zeros((0, len(self.model.langs)))
-            line = 0
-            for numbers, owner in docs:
-                yield numbers, owner, evidence[line : line + len(owner)].astype(np.float64)
-                line += len(owner)
+            some = texts[at : at + self.settings.slice_docs]
+            block = block_of(some, learning=False)
+            said, doc, cue = block.dialogue(self.notices)
+            evidence = self.evidence(said, block.words)
+            misread = dict(zip([d for d, _ in block.misread], self.scored([self.lines(text) for _, text in block.misread])))
+            cuts = np.searchsorted(doc, np.arange(len(some) + 1))
+            for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                yield misread[d] if d in misread else (*np.unique(cue[a:b], return_inverse=True), evidence[a:b])
 
     def states(self, owner: np.ndarray, evidence: np.ndarray, n_cues: int) -> list[tuple[int, ...]]:
         """The language or two languages of each dialogue cue, by the likeliest sequence."""
@@ -148,6 +155,8 @@ class Labeller:
         if not n:
             return []
         states = self.states(owner, evidence, n)
+        single = np.array([len(state) == 1 for state in states])
+        ends = np.searchsorted(owner, np.arange(n + 1))
         out = []
         for k in sorted({k for state in states for k in state}):
             inside = [k in state for state in states]
@@ -159,11 +168,10 @@ class Labeller:
                 j = i
                 while j < n and inside[j]:
                     j += 1
-                lines = (owner >= i) & (owner < j)
+                lines = slice(ends[i], ends[j])
                 here = evidence[lines]
                 # in a cue of two languages, a line speaks for the language it is in
-                alone = np.array([len(states[o]) == 1 for o in owner[lines]])
-                mine = alone | (here[:, k] >= here.max(axis=1) - 1e-9)
+                mine = single[owner[lines]] | (here[:, k] >= here.max(axis=1) - 1e-9)
                 out.append((self.model.langs[k], int(numbers[i]), int(numbers[j - 1]), j - i, float(self.posterior(here[mine])[k])))
                 i = j
         return sorted(out, key=lambda x: (x[1], x[0]))
@@ -176,50 +184,33 @@ class Labeller:
         return {lang for lang, _, _, n, _ in segments if n >= need}
 
 
-def train(docs: DataFrame, samples: DataFrame, model_path: str, key: str = "doc_id", most_docs: int = 1500, longest_doc: int = 20_000, rounds: int = 2) -> Labeller:
+def train(docs: DataFrame, samples: DataFrame, model_path: str, key: str = "doc_id", most_docs: int | None = None, rounds: int = 2) -> Labeller:
     """Fit the languages' piece probabilities.
 
-    First on samples (lang, text), clean sentences, then on most_docs documents of at most longest_doc characters, those
-    with the lowest hash of key and text: each round labels their cues with the model so far, whatever their label says, and
-    counts the words. What tells credits and adverts from dialogue is learnt from the same documents (learn_notices). This
-    bounded sample is all the fitting sees; every document is labelled by the result.
+    First on samples (lang, text), clean sentences, then on all documents, read whole: each round labels their cues with the
+    model so far, whatever their label says, and counts the words. What tells credits and adverts from dialogue is learnt from
+    the same documents. They are parsed once into blocks that every pass reads; counts are added up by Spark. most_docs, if
+    given: fit on so many documents only, those with the lowest hash of key and text.
+
+    A change of language is made dear in the rounds: a sentence that the model so far takes for a neighbouring language counts
+    for the one of the cues around it, so that such an error isn't learnt.
     """
     clean = [(r["lang"], r["text"]) for r in samples.select("lang", "text").collect() if r["lang"] and r["text"]]
     langs = sorted({lang for lang, _ in clean})
-    pieces = read_pieces(model_path)
     base: dict[str, Counter] = defaultdict(Counter)
     for lang, text in clean:
         base[lang].update(words_of(text))
-    usable = docs.filter(F.length("text").between(1, longest_doc)).select(F.xxhash64(key, "text").alias("h"), "text")
-    part = min(1.0, 1.25 * (most_docs + 20) / max(1, docs.count()))
-    while True:  # only the lowest part of the hashes is sorted; more of it where many documents can't be used
-        lowest = usable.filter(F.col("h") <= min(int((part - 0.5) * 2**64), 2**63 - 1))
-        texts = [r["text"] for r in lowest.orderBy("h", "text").limit(most_docs).collect()]
-        if len(texts) >= most_docs or part >= 1:
-            break
-        part = min(1.0, 2 * part)
-    return refined(fit(langs, pieces, base), base, texts, rounds)
-
-
-def refined(model: PieceModel, base: dict[str, Counter], texts: list[str], rounds: int) -> Labeller:
-    """Fit again on the words of texts, each cue counted for the language it is labelled with; base: counts of sure words.
-
-    A change of language is made dear here: a sentence that the model so far takes for a neighbouring language counts for
-    the one of the cues around it, so that such an error isn't learnt.
-    """
-    notices = learn_notices(texts)
-    for _ in range(rounds):
-        steady = Labeller(model, Settings(main=6.0, change=20.0, both=12.0), notices)
-        counts = {lang: Counter({w: 4 * n for w, n in c.items()}) for lang, c in base.items()}
-        for text, (numbers, owner, evidence) in zip(texts, steady.scores(texts)):
-            if not len(numbers):
-                continue
-            states = steady.states(owner, evidence, len(numbers))
-            lines = [words for _, cue in steady.lines(text) for words in cue]
-            for words, k in zip(lines, owner):
-                if len(states[k]) == 1:
-                    counts[model.langs[states[k][0]]].update(words)
-        model = fit(model.langs, model.pieces, counts)
+    model = fit(langs, read_pieces(model_path), base)
+    if most_docs is not None:
+        docs = docs.filter(F.length("text") > 0).orderBy(F.xxhash64(key, "text"), "text").limit(most_docs)
+    with scratch():
+        parsed = written(blocks(docs), "p8-blocks")
+        notices = notices_of(parsed)
+        for _ in range(rounds):
+            steady = Labeller(model, Settings(main=6.0, change=20.0, both=12.0), notices)
+            counts = written(word_counts(parsed, steady, base), "p8-words")
+            model = fit_words(counts, model)
+            discard(counts)
     return Labeller(model, notices=notices)
 
 

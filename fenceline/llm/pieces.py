@@ -7,7 +7,7 @@ boundary, a text's probability is the product over its words, so each distinct w
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -98,8 +98,11 @@ def word_log_probabilities(words: list[str], index: Mapping[str, int], longest:
     return out
 
 
-def expected_pieces(words: list[str], weights: np.ndarray, index: Mapping[str, int], longest: int, table: np.ndarray) -> np.ndarray:
-    """Expected piece counts (pieces, languages) given word counts (words, languages): one step of expectation."""
+def expected_pieces(words: list[str], weights: np.ndarray, index: Mapping[str, int], longest: int, table: np.ndarray, grid: float | None = None) -> np.ndarray:
+    """Expected piece counts (pieces, languages) given word counts (words, languages): one step of expectation.
+
+    grid: what a word adds is rounded to multiples of it, so that sums don't depend on the order of the words.
+    """
     counts = np.zeros_like(table)
     words, owner = _stretches(words)
     weights = weights[owner]
@@ -122,7 +125,8 @@ def expected_pieces(words: list[str], weights: np.ndarray, index: Mapping[str, i
             after = behind[end][w]
             before = np.stack(sums)[s, w]
             known = piece >= 0
-            np.add.at(counts, piece[known], (before * p * after * share[w])[known])
+            added = (before * p * after * share[w])[known]
+            np.add.at(counts, piece[known], np.rint(added / grid) * grid if grid else added)
             for start in np.unique(s):
                 at_start = s == start
                 np.add.at(behind[start], w[at_start], (p * after)[at_start])
@@ -206,9 +210,14 @@ def fit(langs: list[str], pieces: list[str], counts: Mapping[str, Mapping[str, f
     for k, lang in enumerate(langs):
         for w, n in counts.get(lang, {}).items():
             seen[of[w], k] = n
+    return maximised(langs, pieces, lambda table: expected_pieces(words, seen, index, longest, table), rounds, weight)
+
+
+def maximised(langs: list[str], pieces: list[str], expected: Callable[[np.ndarray], np.ndarray], rounds: int = 4, weight: float = 30.0) -> PieceModel:
+    """The rounds of fit; expected: a table's expected piece counts, wherever the words are."""
     table = np.full((len(pieces), len(langs)), 1.0 / len(pieces))
     for _ in range(rounds):
-        found = expected_pieces(words, seen, index, longest, table)
+        found = expected(table)
         per = found / np.maximum(found.sum(axis=0), 1e-9)
         mean = 0.9 * per.mean(axis=1, keepdims=True) + 0.1 / len(pieces)
         table = (found + weight * mean) / (found.sum(axis=0) + weight)

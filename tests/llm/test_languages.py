@@ -6,6 +6,7 @@ import pytest
 
 pytest.importorskip("fenceline.llm")
 
+from fenceline.llm.cues import words_of  # noqa: E402
 from fenceline.llm.languages import Labeller, Settings, held_languages, label_documents, not_named, train  # noqa: E402
 from fenceline.llm.tokens import TOKENIZERS  # noqa: E402
 
@@ -151,3 +152,26 @@ def test_every_document_has_a_main_language_or_null(spark, labeller, sentences):
     got = label_documents(docs, labeller).orderBy("doc_id").collect()
     assert [r["lang"] for r in got] == ["de", "en", "de", None, None, None]
     assert all(0.5 < r["confidence"] <= 1 for r in got[:3]) and all(r["confidence"] is None for r in got[3:])
+
+
+def test_training_sees_every_document_whole(spark, tables):
+    """Each of 1,600 documents, and the end of one of over 20,000 characters, has a notice in words of its own, seen nowhere else."""
+    talk = ["Where did you put the keys?", "Nobody told me about it.", "Come here, quickly.", "We have to leave now."]
+    notice = lambda i: f'<font color="red">kaannos{i} tekstitys{i}</font>'
+    texts = [subtitle([[x] for x in (*talk, notice(i))]) for i in range(1600)] + [subtitle([[talk[i % 4]] for i in range(600)] + [[notice(1600)]])]
+    assert len(texts[-1]) > 20_000
+    docs = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in enumerate(texts)], SCHEMA)
+    got = train(docs, tables["lang_samples"], f"{TOKENIZERS}/piece_bpe_32k.model", rounds=0)
+    assert all(got.notices.holds([f"kaannos{i}", f"tekstitys{i}"]) for i in range(1601))
+    assert not any(got.notices.holds(words_of(x)) for x in talk)
+
+
+def test_fit_counts_every_document_whatever_its_place(spark, tables):
+    """A word that one of 1,600 documents repeats is learnt for its language, and the tasks don't change the model."""
+    en = ["Where did you put the keys?", "Nobody told me about it.", "Come here, quickly.", "We have to leave now."]
+    texts = [subtitle([[x] for x in en[:1]])] * 1600 + [subtitle([[en[i % 4] + " Vuolqx"] for i in range(600)])]
+    docs = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in enumerate(texts)], SCHEMA)
+    model, other = (train(d, tables["lang_samples"], f"{TOKENIZERS}/piece_bpe_32k.model", rounds=1).model for d in (docs, docs.repartition(3)))
+    relative = model.relative()[model.ids(["vuolqx"])][0]
+    assert model.langs[int(relative.argmax())] == "en" and relative.max() > 1
+    assert np.array_equal(model.table, other.table)
