@@ -6,11 +6,14 @@ numbers or of multiples of a power of two, so they don't depend on how documents
 
 from __future__ import annotations
 
+import itertools
 import math
 import pickle
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import blake2b
 from typing import TYPE_CHECKING
 
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cues import cues_of, looks_misread, notice_lines, spoken, words_of
+from .cues import _ADDRESS, _COLOURED, _MARKUP, _SOUND, _SOUND_SIGNS, TIME_LINE, cues_of, looks_misread, spoken
 from .pieces import PieceModel, expected_pieces, maximised
 
 if TYPE_CHECKING:
@@ -31,7 +34,14 @@ BLOCK_DOCS, BLOCK_CHARS = 256, 2_000_000
 #: Expected piece counts are added up in multiples of this: exact to 5e8 of a piece.
 GRID = 2.0**-24
 
+#: A word as words_of has it, or a number, or a line's end.
+_TOKEN = re.compile(r"[^\W_]+|\n")
 
+#: Every line with an address has one of these.
+_ADDRESS_SIGN = re.compile(r"\.[a-z][a-z]|www\.|https?:")
+
+
+@lru_cache(100_000)
 def word_key(word: str) -> int:
     """64 bits that stand for a word wherever the words of all documents are held together."""
     return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
@@ -57,100 +67,202 @@ class Lines:
         """For each line, the sum of its words' rows of values; no line is without words."""
         return np.add.reduceat(values[self.codes], self.starts(), axis=0) if len(self.sizes) else np.zeros((0, *values.shape[1:]))
 
+    def counts(self, times: np.ndarray, n_words: int) -> np.ndarray:
+        """How often each of n_words words is in the lines, each of which counts so many times."""
+        some = self.of(times > 0)
+        return np.bincount(some.codes, np.repeat(times[times > 0], some.sizes), minlength=n_words).astype(np.int64)
+
     def of(self, kept: np.ndarray) -> Lines:
         return Lines(self.codes[np.repeat(kept, self.sizes)], self.sizes[kept])
 
 
+def coded(lines: list[str]) -> tuple[list[str], Lines]:
+    """words_of all the lines: the words, each once, and every line as positions in them."""
+    at: dict[str, int] = defaultdict(itertools.count().__next__)
+    at["\n"]  # 0 ends a line
+    codes, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in range(0, len(lines), 16384):  # bounds memory
+        some = lines[i : i + 16384]
+        found = _TOKEN.findall("\n".join(some).lower())
+        token = np.fromiter(map(at.__getitem__, found), dtype=np.int64, count=len(found))
+        word = np.array([not w.isdigit() for w in at])
+        word[0] = False
+        kept = word[token]
+        codes.append(token[kept])
+        sizes.append(np.bincount(np.cumsum(token == 0)[kept], minlength=len(some)))
+    word = np.array([not w.isdigit() for w in at])
+    word[0] = False
+    return [w for w, x in zip(at, word) if x], Lines((np.cumsum(word) - 1)[np.concatenate(codes)], np.concatenate(sizes))
+
+
 @dataclass
 class Block:
     words: list[str]
     keys: np.ndarray
-    #: Lines that could be notices, each word once, and whether they surely are.
-    shown: Lines
+    #: The lines with words that the block holds, and the same with each word once.
+    lines: Lines
+    once: Lines
+    #: Lines that could be notices, by their place in lines, and whether they surely are.
+    shown: np.ndarray
     sure: np.ndarray
     #: Lines of dialogue cues before notices are known, with their document and cue.
-    said: Lines
-    said_once: Lines
+    said: np.ndarray
     doc: np.ndarray
     cue: np.ndarray
     #: Texts in a wrong encoding, with their document: how they are read depends on the model.
     misread: list[tuple[int, str]]
 
-    def dialogue(self, notices: KeyedNotices) -> tuple[Lines, np.ndarray, np.ndarray]:
+    def dialogue(self, notices: KeyedNotices) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The lines of dialogue cues that are no notices, with their document and cue."""
-        kept = ~notices.lines(self.said_once, self.keys)
-        return self.said.of(kept), self.doc[kept], self.cue[kept]
+        kept = ~notices.lines(self.once, self.keys)[self.said]
+        return self.said[kept], self.doc[kept], self.cue[kept]
 
 
-def block_of(texts: Iterable[str | None], learning: bool = True) -> Block:
-    """learning: with the lines that notices are learnt from."""
-    at: dict[str, int] = {}
-    known: dict[str, list[int]] = {}
+def _block(lines: list[str], shown: np.ndarray, sure: np.ndarray, said: np.ndarray, doc: np.ndarray, cue: np.ndarray, misread: list[tuple[int, str]]) -> Block:
+    """shown, said: places in lines, which may have no words, too."""
+    words, every = coded(lines)
+    some = every.sizes > 0
+    place = np.cumsum(some) - 1
+    kept, spoke = some[shown], some[said]
+    lines_in = every.of(some)
+    keys = np.array([word_key(w) for w in words], dtype=np.int64)
+    return Block(words, keys, lines_in, lines_in.once(len(words)), place[shown[kept]], sure[kept], place[said[spoke]], doc[spoke], cue[spoke], misread)
 
-    def coded(line: str) -> list[int]:
-        codes = known.get(line)
-        if codes is None:
-            codes = known[line] = [at.setdefault(w, len(at)) for w in words_of(line)]
-        return codes
 
-    shown, said, sure, doc, cue, misread = ([], []), ([], []), [], [], [], []
+def block_of(texts: Iterable[str | None], learning: bool = True) -> Block:
+    """The same as notice_lines, cues_of and spoken give of each text, but every different line is looked at once.
+
+    learning: with the lines that notices are learnt from.
+    """
+    at: dict[str, int] = defaultdict(itertools.count().__next__)
+    placed, sizes, docs, wrong, misread, untimed = [], [], [], [], [], {}
     for d, text in enumerate(texts):
         if not text:
             continue
-        for line, marked in notice_lines(text) if learning else ():
-            if codes := coded(line):
-                shown[0].extend(codes)
-                shown[1].append(len(codes))
-                sure.append(marked)
-        if looks_misread(text):
+        if bad := looks_misread(text):
             misread.append((d, text))
-            continue
-        for number, lines in enumerate(cues_of(text), 1):
-            for line in spoken(lines) if lines else ():
-                if codes := coded(line):
-                    said[0].extend(codes)
-                    said[1].append(len(codes))
-                    doc.append(d)
-                    cue.append(number)
-    of = lambda x: Lines(np.array(x[0], dtype=np.int64), np.array(x[1], dtype=np.int64))
-    lines = of(said)
-    keys = np.array([word_key(w) for w in at], dtype=np.int64)
-    return Block(list(at), keys, of(shown).once(len(at)), np.array(sure, dtype=bool), lines, lines.once(len(at)), np.array(doc, dtype=np.int64), np.array(cue, dtype=np.int64), misread)
+            if not learning:
+                continue
+        raw = (text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text).split("\n")
+        placed.extend(map(at.__getitem__, raw))
+        sizes.append(len(raw))
+        docs.append(d)
+        wrong.append(bad)
+        if not bad:
+            untimed[len(docs) - 1] = text  # until a time line is found
+    # no markup goes over a line's end, so it can be removed from each line alone
+    raw = list(at)
+    bare = [_MARKUP.sub("", x) if "<" in x or "{" in x else x for x in raw]
+    timed, timed_raw, blank, signs, dotted, address, colour = (np.zeros(len(raw), dtype=bool) for _ in range(7))
+    timed[[i for i, x in enumerate(bare) if "->" in x and TIME_LINE.match(x)]] = True
+    timed_raw[[i for i in np.flatnonzero(timed).tolist() if bare[i] is raw[i] or TIME_LINE.match(raw[i])]] = True
+    rest = np.flatnonzero(~timed_raw)
+    text_of = [bare[i] for i in rest.tolist()]
+    blank[rest[[not x or x.isspace() for x in text_of]]] = True
+    dotted[rest[["." in x for x in text_of]]] = True
+    whole, ends = "\n".join(text_of), np.cumsum([len(x) + 1 for x in text_of])
+
+    def with_any(sign: re.Pattern) -> np.ndarray:
+        return rest[np.unique(np.searchsorted(ends, [m.start() for m in sign.finditer(whole)], side="right"))]
+
+    signs[with_any(_SOUND_SIGNS)] = True
+    address[[i for i in with_any(_ADDRESS_SIGN).tolist() if _ADDRESS.search(bare[i])]] = True
+    colour[[i for i, x in enumerate(raw) if "<" in x and _COLOURED.search(x)]] = True
+    lines = [""] * len(raw)
+    for i, x in zip(rest.tolist(), text_of):
+        lines[i] = x
+    for i in np.flatnonzero(signs).tolist():
+        lines[i] = _SOUND.sub(" ", bare[i])
+
+    of = np.array(placed, dtype=np.int64)
+    nth = np.repeat(np.arange(len(docs)), np.array(sizes, dtype=np.int64))
+    first = np.cumsum([0, *sizes])[:-1].astype(np.int64)
+
+    def numbered(time: np.ndarray) -> np.ndarray:
+        """How many time lines of its document each line follows; -1 on these lines."""
+        count = np.cumsum(time[of])
+        return np.where(time[of], -1, count - (count[first] - time[of[first]])[nth]) if len(of) else count
+
+    shown = of[numbered(timed_raw) > 0] if learning else of[:0]
+    cue = numbered(timed)
+    spoke = np.flatnonzero((cue > 0) & ~np.array(wrong, dtype=bool)[nth] & ~blank[of]) if len(of) else of
+    # what spoken does with a cue, for cues without signs of sounds
+    start = np.flatnonzero(np.diff(nth[spoke], prepend=-1) | np.diff(cue[spoke], prepend=-1))
+    cue_of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(spoke))))
+    any_of = lambda flag: np.logical_or.reduceat(flag[of[spoke]], start) if len(start) else np.zeros(0, dtype=bool)
+    loud = any_of(signs)
+    plain = ~loud[cue_of] & ~(any_of(dotted)[cue_of] & address[of[spoke]])
+    at_place, said = [spoke[plain]], [of[spoke[plain]]]
+    more: list[tuple[int, int, list[str]]] = []
+    ends = np.append(start, len(spoke))
+    for c in np.flatnonzero(loud):
+        here = spoke[ends[c] : ends[c + 1]]
+        heard = [x for x in (bare[i].strip() for i in of[here]) if not x.isdigit()]
+        more.append((int(here[0]), int(cue[here[0]]), spoken(heard)))
+    with_time = set(nth[np.flatnonzero(timed[of])].tolist()) if len(of) else set()
+    for n, text in untimed.items():
+        if n not in with_time:  # cues and lines are told apart otherwise there
+            more += [(int(first[n]), number, spoken(x)) for number, x in enumerate(cues_of(text), 1) if x]
+    extra = [(place, number, x) for place, number, some in more for x in some]
+    place = np.concatenate([*at_place, np.array([p for p, _, _ in extra], dtype=np.int64)])
+    order = np.argsort(place, kind="stable")
+    said_all = np.concatenate([*said, len(lines) + np.arange(len(extra))])[order]
+    number = np.concatenate([cue[spoke[plain]], np.array([n for _, n, _ in extra], dtype=np.int64)])[order]
+    doc = np.array(docs, dtype=np.int64)[nth[place[order]]]
+    return _block([*lines, *(x for _, _, x in extra)], shown, (address | colour)[shown], said_all, doc, number, misread)
+
+
+def block_of_cues(cues: Iterable[tuple[int, int, list[str]]]) -> Block:
+    """cues: (document, number, lines as cues_of gives them)."""
+    said = [(d, number, x) for d, number, lines in cues for x in spoken(lines)]
+    doc, cue = (np.array([x[i] for x in said], dtype=np.int64) for i in (0, 1))
+    return _block([x for _, _, x in said], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.arange(len(said)), doc, cue, [])
 
 
 def _packed(block: Block) -> bytes:
     small = lambda x: x.astype(np.min_scalar_type(x.max(initial=0)))
-    lines = [small(x) for y in (block.shown, block.said, block.said_once) for x in (y.codes, y.sizes)]
-    return pickle.dumps((block.words, block.keys, lines, block.sure, small(block.doc), small(block.cue), block.misread), protocol=5)
+    numbers = [small(x) for x in (block.lines.codes, block.lines.sizes, block.shown, block.said, block.doc, block.cue)]
+    return pickle.dumps((block.words, block.keys, numbers, block.sure, block.misread), protocol=5)
 
 
-def _unpacked(data: bytes) -> Block:
-    words, keys, lines, sure, doc, cue, misread = pickle.loads(data)
-    a, b, c, d, e, f = (x.astype(np.int64) for x in lines)
-    return Block(words, keys, Lines(a, b), sure, Lines(c, d), Lines(e, f), doc.astype(np.int64), cue.astype(np.int64), misread)
+def unpacked(data: bytes) -> Block:
+    words, keys, numbers, sure, misread = pickle.loads(data)
+    codes, sizes, shown, said, doc, cue = (x.astype(np.int64) for x in numbers)
+    lines = Lines(codes, sizes)
+    return Block(words, keys, lines, lines.once(len(words)), shown, sure, said, doc, cue, misread)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(block) of all documents with a text, each read whole."""
+def blocks(docs: DataFrame, *names: str) -> DataFrame:
+    """(block, *names): all documents, each read whole, with these columns of a block's documents as arrays."""
+    rows = docs.select("text", *names)
+
+    def one(texts: list[str | None], named: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([x.column(i) for x in named]) for i in range(1, 1 + len(names))]
+        arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns]
+        return pa.RecordBatch.from_arrays([pa.array([_packed(block_of(texts))], pa.binary()), *arrays], ["block", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[str] = []
+        texts: list[str | None] = []
+        named: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for text in batch.column(0):
+            at = 0
+            for i, text in enumerate(batch.column(0)):
                 texts.append(text.as_py())
-                size += len(texts[-1])
+                size += len(texts[-1] or "")
                 if len(texts) >= BLOCK_DOCS or size >= BLOCK_CHARS:
-                    yield pa.RecordBatch.from_arrays([pa.array([_packed(block_of(texts))], pa.binary())], ["block"])
-                    texts, size = [], 0
+                    yield one(texts, [*named, batch.slice(at, i + 1 - at)])
+                    texts, named, size, at = [], [], 0, i + 1
+            if at < batch.num_rows:
+                named.append(batch.slice(at))
         if texts:
-            yield pa.RecordBatch.from_arrays([pa.array([_packed(block_of(texts))], pa.binary())], ["block"])
+            yield one(texts, named)
 
-    return docs.filter(F.length("text") > 0).select("text").mapInArrow(run, "block binary")
+    return rows.mapInArrow(run, ", ".join(["block binary", *(f"`{x}` array<{rows.schema[x].dataType.simpleString()}>" for x in names)]))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    return (_unpacked(data.as_py()) for batch in batches for data in batch.column(0))
+    return (unpacked(data.as_py()) for batch in batches for data in batch.column(0))
 
 
 @dataclass
@@ -194,7 +306,7 @@ def _key_counts(parsed: DataFrame, counted: Callable[[Block], list[np.ndarray]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _read(batches):
             masks = counted(block)
-            each = [np.bincount(block.shown.of(m).codes, minlength=len(block.keys)) for m in masks]
+            each = [block.once.counts(np.bincount(block.shown[m], minlength=len(block.once.sizes)), len(block.keys)) for m in masks]
             some = np.flatnonzero(np.any(each, axis=0))
             keys = pa.array([None, *block.keys[some].tolist()], pa.int64())  # the null key counts the lines
             yield pa.RecordBatch.from_arrays([keys, *(pa.array(np.append(m.sum(), n[some]), pa.int64()) for m, n in zip(masks, each))], ["key", *names])
@@ -219,36 +331,24 @@ def notices_of(parsed: DataFrame, rounds: int = 4, floor: float = 0.3) -> KeyedN
         values = np.log((marked + floor) / ((every - marked) * ratio + floor))
         found = KeyedNotices(keys, np.round(values * 2.0**30) / 2.0**30, -math.log(ratio))
         if i + 1 < rounds:
-            some, (n,), (many,) = _key_counts(parsed, lambda block, now=found: [block.sure | now.lines(block.shown, block.keys)], ["n"])
+            some, (n,), (many,) = _key_counts(parsed, lambda block, now=found: [block.sure | now.lines(block.once, block.keys)[block.shown]], ["n"])
             marked = np.zeros(len(keys), dtype=np.int64)
             marked[np.searchsorted(keys, some)] = n
     return found
 
 
-def _spoken_words(block: Block, labeller: Labeller) -> tuple[list[str], np.ndarray]:
-    """(words, (words, languages) counts) of the cues that are in one language by the labeller."""
+def _spoken_words(block: Block, labeller: Labeller) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(words, (words, languages) counts) of the cues that are in one language by the labeller; misread texts apart."""
     n_langs = len(labeller.model.langs)
-    said, doc, cue = block.dialogue(labeller.notices)
-    evidence = labeller.evidence(said, block.words)
-    lang = np.full(len(doc), -1)
-    cuts = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        owner = np.unique(cue[a:b], return_inverse=True)[1]
-        states = labeller.states(owner, evidence[a:b], int(owner[-1]) + 1)
-        lang[a:b] = np.array([s[0] if len(s) == 1 else -1 for s in states])[owner]
-    of_word = np.repeat(lang, said.sizes)
-    counts = np.bincount((said.codes * n_langs + of_word)[of_word >= 0], minlength=len(block.words) * n_langs).reshape(-1, n_langs)
-    other: dict[str, np.ndarray] = {}
-    cues = [labeller.lines(text) for _, text in block.misread]
-    for lines, (numbers, owner, evidence) in zip(cues, labeller.scored(cues)):
-        if not len(numbers):
-            continue
-        states = labeller.states(owner, evidence, len(numbers))
-        for words, k in zip((words for _, cue in lines for words in cue), owner):
-            if len(states[k]) == 1:
-                for w in words:
-                    other.setdefault(w, np.zeros(n_langs, dtype=np.int64))[states[k][0]] += 1
-    return [*block.words, *other], np.concatenate([counts, *([list(other.values())] if other else [])])
+    for part, said, doc, cue, evidence in labeller.read(block):
+        lang = np.full(len(doc), -1)
+        for found in labeller.sequences(doc, cue, evidence):
+            if found.states is None:
+                lang[found.lines] = found.main
+            else:
+                lang[found.lines] = np.array([s[0] if len(s) == 1 else -1 for s in found.states])[found.owner(cue)]
+        times = [np.bincount(said[lang == k], minlength=len(part.lines.sizes)) for k in range(n_langs)]
+        yield part.words, np.stack([part.lines.counts(n, len(part.words)) for n in times], axis=1)
 
 
 def word_counts(parsed: DataFrame, labeller: Labeller, sure: dict[str, Counter]) -> DataFrame:
@@ -258,9 +358,9 @@ def word_counts(parsed: DataFrame, labeller: Labeller, sure: dict[str, Counter])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _read(batches):
-            words, counts = _spoken_words(block, labeller)
-            some = np.flatnonzero(counts.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.string()), *(pa.array(c, pa.int64()) for c in counts[some].T)], ["word", *names])
+            for words, counts in _spoken_words(block, labeller):
+                some = np.flatnonzero(counts.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.string()), *(pa.array(c, pa.int64()) for c in counts[some].T)], ["word", *names])
 
     schema = ", ".join(["word string", *(f"{x} long" for x in names)])
     rows = [(w, *(4 * sure[lang][w] for lang in langs)) for w in sorted({w for c in sure.values() for w in c})]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 from collections import Counter
@@ -29,6 +30,7 @@ _ALPHABETS = "äöüßåéèêëàâçîïôûùœæáíóúñãõìòąćęłń
 
 #: Characters that text in the languages handled has when it was read rightly.
 USUAL = frozenset(map(chr, range(128))) | frozenset(_ALPHABETS + _ALPHABETS.upper() + "¿¡«»„“”‚‘’–—…♪♫€﻿   ")
+_UNUSUAL = re.compile("[^" + "".join(map(re.escape, sorted(USUAL))) + "]")
 
 
 def cues_of(text: str) -> list[list[str]]:
@@ -116,45 +118,60 @@ def learn_notices(texts: Iterable[str], rounds: int = 4, floor: float = 0.3) ->
     return found
 
 
-def _byte_of(reading: str) -> dict[str, int]:
-    table = {}
-    for b in range(256):
-        try:
-            table[bytes([b]).decode(reading)] = b
-        except UnicodeDecodeError:
-            table[chr(b)] = b  # undefined there; such bytes come through as control characters
-    return table
+def _lost_bytes(error: UnicodeError) -> tuple[bytes, int]:
+    """The bytes of characters that a reading's table lacks: bytes undefined there come through as control characters."""
+    assert isinstance(error, UnicodeEncodeError)
+    return error.object[error.start : error.end].replace("\ufffd", "\xff").encode("latin-1"), error.end
 
 
-_BYTES = {reading: _byte_of(reading) for _, reading in MISREADINGS}
-_CANDIDATES = [(written, _BYTES[reading]) for written, reading in MISREADINGS]
+codecs.register_error("fenceline-lost-bytes", _lost_bytes)
 
 
-def _reread(text: str, written: str, table: dict[str, int]) -> str | None:
+def _readings(text: str, misreadings: Iterable[tuple[str, str]]) -> set[str]:
+    """What the text would be if it had been misread so."""
     lost = "\ufffd" in text  # bytes that the wrong reading had no character for
-    try:
-        return bytes(0xFF if c == "\ufffd" else table[c] if c in table else ord(c) for c in text).decode(written, "replace" if lost else "strict")
-    except (ValueError, UnicodeDecodeError):
-        return None
+    read: dict[str, bytes | None] = {}
+    found = set()
+    for written, reading in misreadings:
+        try:
+            if reading not in read:
+                read[reading] = None
+                read[reading] = text.encode(reading, "fenceline-lost-bytes")
+            if (data := read[reading]) is not None:
+                found.add(data.decode(written, "replace" if lost else "strict"))
+        except ValueError:
+            pass
+    return found
 
 
 def looks_misread(text: str) -> bool:
-    return not text.isascii() and not USUAL.issuperset(text)
+    return not text.isascii() and _UNUSUAL.search(text) is not None
 
 
 def repaired(line: str, likelihood: Callable[[str], float]) -> str:
     """The likeliest of the line and its readings in other encodings, applied up to twice."""
-    if line.isascii():
-        return line
-    best, best_value = line, likelihood(line)
+    return all_repaired([line], lambda lines: [likelihood(x) for x in lines])[line]
+
+
+def all_repaired(lines: Iterable[str], likelihoods: Callable[[list[str]], list[float]]) -> dict[str, str]:
+    """Each line repaired; the likelihoods of many readings are asked for at once."""
+    best = {line: line for line in lines}
+    known: dict[str, float] = {}
+
+    def likeliest(readings: dict[str, set[str]]) -> dict[str, tuple[float, str]]:
+        new = list({x for some in readings.values() for x in some if x not in known})
+        known.update(zip(new, likelihoods(new)))
+        return {line: max(((known[x], x) for x in some), default=(-1e300, "")) for line, some in readings.items()}
+
+    left = [line for line in best if not line.isascii()]
+    value = {line: v for line, (v, _) in likeliest({line: {line} for line in left}).items()}
     for _ in range(2):
-        readings = {x for written, table in _CANDIDATES if (x := _reread(best, written, table)) is not None and x != best}
-        value, reading = max(((likelihood(x), x) for x in readings), default=(-1e300, ""))
+        readings = {line: _readings(best[line], MISREADINGS) - {best[line]} for line in left}
+        found = likeliest(readings)
         # a double misreading may get no better before its second step
-        if value <= best_value:
-            again = {y for x in readings for written, table in _CANDIDATES[:3] if (y := _reread(x, written, table)) is not None}
-            value, reading = max(((likelihood(x), x) for x in again), default=(-1e300, ""))
-            if value <= best_value:
-                break
-        best, best_value = reading, value
+        stuck = [line for line in left if found[line][0] <= value[line]]
+        found |= likeliest({line: {y for x in readings[line] for y in _readings(x, MISREADINGS[:3])} for line in stuck})
+        left = [line for line in left if found[line][0] > value[line]]
+        for line in left:
+            value[line], best[line] = found[line]
     return best

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import clean_name
 from ..session import discard, scratch, written
-from .corpus import KeyedNotices, Lines, block_of, blocks, fit_words, notices_of, word_counts
-from .cues import cues_of, looks_misread, repaired, spoken, words_of
+from .corpus import Block, KeyedNotices, Lines, block_of, block_of_cues, blocks, fit_words, notices_of, unpacked, word_counts
+from .cues import all_repaired, cues_of, words_of
 from .pieces import PieceModel, fit, read_pieces
 
 SEGMENTS = "array<struct<lang:string,first_cue:int,last_cue:int,n_cues:int,confidence:double>>"
@@ -39,6 +39,41 @@ class Settings:
     slice_docs: int = 256
 
 
+class _Odd(dict):
+    """Whether a character is in no word nor usual between words."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = found = not (c.isalnum() or c.isspace() or c in ".,;:!?¿¡'\"-–—…()[]«»„“”♪♫#*&%/")
+        return found
+
+
+_ODD = _Odd()
+
+
+@dataclass
+class Sequence:
+    """The languages of a document's cues; no states: all of them are in the main one."""
+
+    doc: int
+    lines: slice
+    n_cues: int
+    main: int
+    states: list[tuple[int, ...]] | None
+
+    def owner(self, cue: np.ndarray) -> np.ndarray:
+        """The place among the document's dialogue cues of each line's."""
+        return np.cumsum(np.diff(cue[self.lines], prepend=cue[self.lines.start]) != 0)
+
+
+def _best_stretch(gain: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The largest sum of neighbours in each part of gain; first: where the parts start."""
+    upto = np.cumsum(gain)
+    before = upto - gain
+    # every part starts lower than all before it, so that the least sum so far is one of its own
+    down = (np.ptp(np.append(upto, 0.0)) + 1.0) * np.repeat(np.arange(len(first)), np.diff(np.append(first, len(gain))))
+    return np.maximum.reduceat(upto - down - np.minimum.accumulate(before - down), first)
+
+
 @dataclass
 class Labeller:
     """Scores and segments texts; sent to the executors."""
@@ -47,54 +82,55 @@ class Labeller:
     settings: Settings = field(default_factory=Settings)
     notices: KeyedNotices = field(default_factory=KeyedNotices)
 
-    def _likelihood(self, line: str) -> float:
-        words = words_of(line)
+    def _likelihoods(self, lines: list[str]) -> list[float]:
+        said = [words_of(line) for line in lines]
+        ids = self.model.ids([w for words in said for w in words])
+        values = self.model.plain()[ids]
+        ends = np.cumsum([len(words) for words in said]).tolist()
         # characters that are in no word, as wrong readings have them, count as unknown ones
-        odd = sum(not (c.isalnum() or c.isspace() or c in ".,;:!?¿¡'\"-–—…()[]«»„“”♪♫#*&%/") for c in line)
-        ids = self.model.ids(words)
-        return float(self.model.plain()[ids].sum()) - 12.0 * odd
+        return [float(values[end - len(words) : end].sum()) - 12.0 * sum(map(_ODD.__getitem__, line)) for line, words, end in zip(lines, said, ends)]
 
-    def lines(self, text: str) -> list[tuple[int, list[list[str]]]]:
-        """(cue number, words of each line) of the dialogue cues."""
-        misread = looks_misread(text)
-        out = []
-        for number, lines in enumerate(cues_of(text), 1):
-            if not lines:
-                continue
-            if misread:
-                lines = [repaired(x, self._likelihood) for x in lines]
-            said = [words for line in spoken(lines) if (words := words_of(line)) and not self.notices.holds(words)]
-            if said:
-                out.append((number, said))
-        return out
+    def reread(self, misread: list[tuple[int, str]]) -> Block:
+        """The lines of texts in a wrong encoding, repaired."""
+        cues = [(d, number, lines) for d, text in misread for number, lines in enumerate(cues_of(text), 1) if lines]
+        right = all_repaired({x for _, _, lines in cues for x in lines}, self._likelihoods)
+        return block_of_cues((d, number, [right[x] for x in lines]) for d, number, lines in cues)
 
     def evidence(self, lines: Lines, words: list[str]) -> np.ndarray:
         """(lines, languages) evidence of lines of these words."""
         ids = self.model.ids(words)
         return lines.sums(self.model.relative()[ids]).astype(np.float64)
 
-    def scored(self, docs: list[list[tuple[int, list[list[str]]]]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """What scores gives, of documents as lines gives them."""
-        said = [words for cues in docs for _, lines in cues for words in lines]
-        every = [w for words in said for w in words]
-        evidence = self.evidence(Lines(np.arange(len(every)), np.array([len(words) for words in said], dtype=np.int64)), every)
-        at = 0
-        for cues in docs:
-            owner = np.repeat(np.arange(len(cues)), np.array([len(lines) for _, lines in cues], dtype=np.int64))
-            yield np.array([n for n, _ in cues], dtype=np.int64), owner, evidence[at : at + len(owner)]
-            at += len(owner)
-
-    def scores(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text: cue numbers, cue of each line, (lines, languages) evidence."""
-        for at in range(0, len(texts), self.settings.slice_docs):
-            some = texts[at : at + self.settings.slice_docs]
-            block = block_of(some, learning=False)
-            said, doc, cue = block.dialogue(self.notices)
-            evidence = self.evidence(said, block.words)
-            misread = dict(zip([d for d, _ in block.misread], self.scored([self.lines(text) for _, text in block.misread])))
-            cuts = np.searchsorted(doc, np.arange(len(some) + 1))
-            for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                yield misread[d] if d in misread else (*np.unique(cue[a:b], return_inverse=True), evidence[a:b])
+    def read(self, block: Block) -> Iterator[tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(block, lines of dialogue in it, document and cue of each, (lines, languages) evidence) of the block and of its misread texts, repaired."""
+        for part in (block, self.reread(block.misread)) if block.misread else (block,):
+            said, doc, cue = part.dialogue(self.notices)
+            yield part, said, doc, cue, self.evidence(part.lines, part.words)[said]
+
+    def sequences(self, doc: np.ndarray, cue: np.ndarray, evidence: np.ndarray) -> Iterator[Sequence]:
+        """The likeliest sequence of each document that has lines; those that can only be in one language throughout are found together."""
+        if not len(doc):
+            return
+        s = self.settings
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        cues = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(cue, prepend=-1))
+        inside = np.searchsorted(cues, first)
+        ends, counts = np.append(first, len(doc)), np.diff(np.append(inside, len(cues)))
+        by_cue = np.add.reduceat(evidence, cues, axis=0)
+        mains = np.add.reduceat(by_cue, inside, axis=0).argmax(axis=1)
+        # the most that a cue gains in other languages, and with all its lines in the best one
+        single = by_cue.max(axis=1) - by_cue[np.arange(len(cues)), np.repeat(mains, counts)]
+        lines = evidence.max(axis=1) - evidence[np.arange(len(doc)), np.repeat(mains, np.diff(ends))]
+        both = np.add.reduceat(lines, cues) - s.both - np.where(np.diff(np.append(cues, len(doc))) < 2, s.both_in_one, 0.0)
+        gain = np.maximum(single, both) - s.main
+        # leaving the main language for a stretch costs a change at least, so none pays if none gains as much; two languages
+        # throughout cost no change, but pay only if the lines gain more than both in every cue; a little is left for rounding
+        alone = (_best_stretch(gain, inside) <= s.change - 1e-3) & (np.add.reduceat(lines, first) <= counts * s.both - 1e-3)
+        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            found = Sequence(int(doc[a]), slice(a, b), int(counts[i]), int(mains[i]), None)
+            if not alone[i]:
+                found.states = self.states(found.owner(cue), evidence[a:b], found.n_cues)
+            yield found
 
     def states(self, owner: np.ndarray, evidence: np.ndarray, n_cues: int) -> list[tuple[int, ...]]:
         """The language or two languages of each dialogue cue, by the likeliest sequence."""
@@ -136,25 +172,15 @@ class Labeller:
         named: list[tuple[int, ...]] = [(k,) for k in single] + pairs
         return [named[k] for k in reversed(path)]
 
-    def posterior(self, evidence: np.ndarray) -> np.ndarray:
-        """The confidence in each language for these lines together."""
-        total = evidence.sum(axis=0) / self.settings.temper
-        weights = np.exp(total - total.max())
-        return weights / weights.sum()
+    def posterior(self, total: np.ndarray) -> np.ndarray:
+        """The confidence in each language for lines of this evidence together."""
+        total = total / self.settings.temper
+        weights = np.exp(total - total.max(axis=-1, keepdims=True))
+        return weights / weights.sum(axis=-1, keepdims=True)
 
-    def main(self, evidence: np.ndarray) -> tuple[str | None, float | None]:
-        """(language, confidence) of a whole document: the one with the most evidence over all its lines; nulls without any."""
-        if not len(evidence):
-            return None, None
-        k = int(evidence.sum(axis=0).argmax())
-        return self.model.langs[k], float(self.posterior(evidence)[k])
-
-    def segments(self, numbers: np.ndarray, owner: np.ndarray, evidence: np.ndarray) -> list[tuple[str, int, int, int, float]]:
+    def segments(self, states: list[tuple[int, ...]], numbers: np.ndarray, owner: np.ndarray, evidence: np.ndarray) -> list[tuple[str, int, int, int, float]]:
         """Every run of dialogue cues that contain a language: (lang, first cue, last cue, cues, confidence)."""
         n = len(numbers)
-        if not n:
-            return []
-        states = self.states(owner, evidence, n)
         single = np.array([len(state) == 1 for state in states])
         ends = np.searchsorted(owner, np.arange(n + 1))
         out = []
@@ -172,12 +198,36 @@ class Labeller:
                 here = evidence[lines]
                 # in a cue of two languages, a line speaks for the language it is in
                 mine = single[owner[lines]] | (here[:, k] >= here.max(axis=1) - 1e-9)
-                out.append((self.model.langs[k], int(numbers[i]), int(numbers[j - 1]), j - i, float(self.posterior(here[mine])[k])))
+                out.append((self.model.langs[k], int(numbers[i]), int(numbers[j - 1]), j - i, float(self.posterior(here[mine].sum(axis=0))[k])))
                 i = j
         return sorted(out, key=lambda x: (x[1], x[0]))
 
+    def labels(self, block: Block) -> dict[int, tuple[int, str, float, list[tuple[str, int, int, int, float]]]]:
+        """(cues, main language, confidence, segments) of each of the block's documents that have dialogue.
+
+        The main language is the one with the most evidence over all lines.
+        """
+        out = {}
+        langs = self.model.langs
+        for _, _, doc, cue, evidence in self.read(block):
+            if not len(doc):
+                continue
+            totals = np.add.reduceat(evidence, np.flatnonzero(np.diff(doc, prepend=-1)), axis=0)
+            sure, main = self.posterior(totals), totals.argmax(axis=1).tolist()
+            for i, found in enumerate(self.sequences(doc, cue, evidence)):
+                at = found.lines
+                if found.states is None:
+                    segments = [(langs[found.main], int(cue[at.start]), int(cue[at.stop - 1]), found.n_cues, float(sure[i, found.main]))]
+                else:
+                    owner = found.owner(cue)
+                    numbers = cue[at][np.flatnonzero(np.diff(owner, prepend=-1))]
+                    segments = self.segments(found.states, numbers, owner, evidence[at])
+                out[found.doc] = (found.n_cues, langs[main[i]], float(sure[i, main[i]]), segments)
+        return out
+
     def label(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
-        return self.segments(*next(self.scores([text])))
+        found = self.labels(block_of([text], learning=False))
+        return found[0][3] if found else []
 
     def held(self, segments: list[tuple[str, int, int, int, float]], n_cues: int) -> set[str]:
         need = min(self.settings.least_run, n_cues)
@@ -195,22 +245,30 @@ def train(docs: DataFrame, samples: DataFrame, model_path: str, key: str = "doc_
     A change of language is made dear in the rounds: a sentence that the model so far takes for a neighbouring language counts
     for the one of the cues around it, so that such an error isn't learnt.
     """
+    model, base = _first_model(samples, model_path)
+    if most_docs is not None:
+        docs = docs.filter(F.length("text") > 0).orderBy(F.xxhash64(key, "text"), "text").limit(most_docs)
+    with scratch():
+        return _fitted(written(blocks(docs.filter(F.length("text") > 0)), "p8-blocks"), model, base, rounds)
+
+
+def _first_model(samples: DataFrame, model_path: str) -> tuple[PieceModel, dict[str, Counter]]:
+    """The model by the samples, and their words."""
     clean = [(r["lang"], r["text"]) for r in samples.select("lang", "text").collect() if r["lang"] and r["text"]]
-    langs = sorted({lang for lang, _ in clean})
     base: dict[str, Counter] = defaultdict(Counter)
     for lang, text in clean:
         base[lang].update(words_of(text))
-    model = fit(langs, read_pieces(model_path), base)
-    if most_docs is not None:
-        docs = docs.filter(F.length("text") > 0).orderBy(F.xxhash64(key, "text"), "text").limit(most_docs)
-    with scratch():
-        parsed = written(blocks(docs), "p8-blocks")
-        notices = notices_of(parsed)
-        for _ in range(rounds):
-            steady = Labeller(model, Settings(main=6.0, change=20.0, both=12.0), notices)
-            counts = written(word_counts(parsed, steady, base), "p8-words")
-            model = fit_words(counts, model)
-            discard(counts)
+    return fit(sorted({lang for lang, _ in clean}), read_pieces(model_path), base), base
+
+
+def _fitted(parsed: DataFrame, model: PieceModel, base: dict[str, Counter], rounds: int) -> Labeller:
+    only = parsed.select("block")
+    notices = notices_of(only)
+    for _ in range(rounds):
+        steady = Labeller(model, Settings(main=6.0, change=20.0, both=12.0), notices)
+        counts = written(word_counts(only, steady, base), "p8-words")
+        model = fit_words(counts, model)
+        discard(counts)
     return Labeller(model, notices=notices)
 
 
@@ -230,18 +288,43 @@ def label_documents(docs: DataFrame, labeller: Labeller, key: str = "doc_id") ->
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                found, sizes, mains = [], [], []
-                for numbers, owner, evidence in labeller.scores(batch.column(2).to_pylist()):
-                    sizes.append(len(numbers))
-                    mains.append(labeller.main(evidence))
-                    names = ("lang", "first_cue", "last_cue", "n_cues", "confidence")
-                    found.append([dict(zip(names, s)) for s in labeller.segments(numbers, owner, evidence)])
-                segment = pa.list_(pa.struct([("lang", pa.string()), ("first_cue", pa.int32()), ("last_cue", pa.int32()), ("n_cues", pa.int32()), ("confidence", pa.float64())]))
-                langs, sure = pa.array([lang for lang, _ in mains], pa.string()), pa.array([c for _, c in mains], pa.float64())
-                arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), langs, sure, pa.array(found, segment)]
-                yield pa.RecordBatch.from_arrays(arrays, ["k", "label", "n_cues", "lang", "confidence", "segments"])
-
-    return rows.mapInArrow(run, f"k {kind}, label string, n_cues int, lang string, confidence double, segments {SEGMENTS}").withColumnRenamed("k", key)
+                yield _label_rows(batch.column(0), batch.column(1), labeller.labels(block_of(batch.column(2).to_pylist(), learning=False)))
+
+    return rows.mapInArrow(run, _schema(kind)).withColumnRenamed("k", key)
+
+
+def train_and_label(docs: DataFrame, samples: DataFrame, model_path: str, key: str = "doc_id", rounds: int = 2) -> DataFrame:
+    """What label_documents gives with a labeller that train fitted on the same documents, which are parsed once for both.
+
+    The blocks stay in the shared folder, as the result reads them.
+    """
+    model, base = _first_model(samples, model_path)
+    rows = docs.select(F.col(key).alias("k"), F.col("lang").alias("label"), F.col("text"))
+    parsed = written(blocks(rows, "k", "label"), "p8-blocks")
+    labeller = _fitted(parsed, model, base, rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, keys, labels in zip(*batch.columns):
+                yield _label_rows(keys.values, labels.values, labeller.labels(unpacked(block.as_py())))
+
+    return parsed.mapInArrow(run, _schema(rows.schema["k"].dataType.simpleString())).withColumnRenamed("k", key)
+
+
+def _schema(kind: str) -> str:
+    return f"k {kind}, label string, n_cues int, lang string, confidence double, segments {SEGMENTS}"
+
+
+def _label_rows(keys: pa.Array, labels: pa.Array, found: dict[int, tuple[int, str, float, list[tuple[str, int, int, int, float]]]]) -> pa.RecordBatch:
+    """found: as Labeller.labels gives it, by the place of a document's key."""
+    sizes, langs, sure, segments = zip(*(found.get(d, (0, None, None, [])) for d in range(len(keys)))) if len(keys) else ((), (), (), ())
+    names = ("lang", "first_cue", "last_cue", "n_cues", "confidence")
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+    flat = [x for some in segments for x in some]
+    parts = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], kind) for i, kind in enumerate(kinds)], list(names))
+    listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, segments)]), pa.int32()), parts)
+    arrays = [keys, labels, pa.array(sizes, pa.int32()), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), listed]
+    return pa.RecordBatch.from_arrays(arrays, ["k", "label", "n_cues", "lang", "confidence", "segments"])
 
 
 def held_languages(labelled: DataFrame, key: str = "doc_id", least_run: int = 5) -> DataFrame:

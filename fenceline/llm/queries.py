@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import micros
 from ..operators.runs import current_runs
 from ..plans.logs import CURRENT_RUNS, table
-from .languages import held_languages, label_documents, not_named, train
+from .languages import held_languages, not_named, train_and_label
 from .mixing import mix, mixture_audit, shares
 from .packing import fill, pack, packing_audit
 from .percentiles import percentiles, value_counts
@@ -77,9 +77,7 @@ def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    labeller = train(docs, table(spark, sf_dir, "lang_samples"), f"{TOKENIZERS}/piece_bpe_32k.model")
-    return label_documents(docs, labeller)
+    return train_and_label(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
